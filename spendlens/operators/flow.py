@@ -49,6 +49,12 @@ def flow_reverse(rows: DataFrame, forward: DataFrame, primary: str, metric: str)
     return keep_members(links, forward.select(secondary), secondary)
 
 
+def mirrored(reverse: DataFrame, primary: str, chosen: str) -> DataFrame:
+    """The forward leg read off the reverse leg, which holds each of its links
+    the other way round."""
+    return for_key(reverse, primary, chosen)
+
+
 def union_legs(forward: DataFrame, reverse: DataFrame, primary: str, metric: str) -> DataFrame:
     """(leg, source, target, value) of both legs, zero weights made tiny."""
     secondary = other_side(primary)

@@ -3,9 +3,8 @@
 Spark rows have no order of their own, so every order is a list of sort
 expressions that ends in a key, and every rank is a column.  Short lists (at
 most ``BROADCAST_ROWS`` rows) are taken with a top-k.  Longer ones are numbered
-in ranges: a fixed-size sample of the sort keys cuts the table into about 256
-slots, rows are numbered inside their slot, and slot sizes give the offset, so
-no single task ever sees the whole table.
+by a sort that Spark splits in ranges, so no single task ever sees the whole
+table.
 """
 
 from __future__ import annotations
@@ -17,23 +16,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.checks import check_slice
+from spendlens.operators.lineage import cut
 from spendlens.operators.metrics import metric_values
 from spendlens.schema import BROADCAST_ROWS, METRICS, PAGE_SIZE, TOP_DEFAULT
 
-CUTS = 255  # sampled cut points of a distributed numbering
-SPREAD = 64  # partitions that share the rows of one frequent value
-
 
 def descending(value: str, key: str) -> list[Column]:
     """Largest value first, missing values last, ties by key."""
     return [F.desc_nulls_last(value), F.asc(key)]
 
 
-def _ascending(value: str, key: str) -> list[Column]:
-    """The order of ``descending`` as expressions that all sort upwards."""
-    return [F.col(value).isNull(), -F.col(value), F.col(key)]
-
-
 def ranked_totals(totals: DataFrame, key: str, value: str = "value") -> DataFrame:
     return totals.orderBy(*descending(value, key))
 
@@ -47,7 +39,7 @@ def rank_slice(totals: DataFrame, key: str, low: int, high: int, value: str = "v
     """Positions low..high of the sorted totals, with a ``position`` column."""
     check_slice(low, high)
     if high > BROADCAST_ROWS:
-        placed = with_position(totals, _ascending(value, key))
+        placed = with_position(totals, descending(value, key))
     else:
         first = ranked_totals(totals, key, value).limit(high)
         order = Window.orderBy(*descending(value, key))
@@ -86,59 +78,45 @@ def first_seen_index(rows: DataFrame, key: str | list[str], position: str, name:
 
 
 def with_position(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
-    """Number rows from 1 in an ascending order that no two rows share."""
-    keyed = df.withColumn("_order", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
-    # The rows with the smallest hashes are an even sample that is the same on
-    # every run; its size does not grow with the table.
-    sample = keyed.select("_order").orderBy(F.xxhash64("_order"), "_order").limit(CUTS)
-    cuts = sample.agg(F.sort_array(F.collect_list("_order"))).scalar()
-    slotted = (
-        keyed.withColumn("_cuts", cuts)
-        .withColumn("_slot", F.size(F.filter("_cuts", lambda cut: cut <= F.col("_order"))))
-        .drop("_cuts")
-    )
-    offsets = _offsets(slotted, [])
-    inside = F.row_number().over(Window.partitionBy("_slot").orderBy("_order"))
-    placed = slotted.join(offsets, "_slot").withColumn(name, F.col("_offset") + inside)
-    return placed.drop("_order", "_slot", "_offset")
+    """Number rows from 1 in an order that no two rows share."""
+    return _placed(df, order).withColumnRenamed("_position", name).drop("_range", "_place")
 
 
-def _offsets(slotted: DataFrame, within: list[str]) -> DataFrame:
-    """Rows in all earlier slots; at most two rows per cut point and group."""
-    counts = slotted.groupBy(*within, "_slot").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(*within).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
-    return F.broadcast(counts.select(*within, "_slot", offset.alias("_offset")))
+def _placed(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Rows with their range of the order, place in it and overall position.
+
+    The table is sorted in ranges and kept; a position is the place in the
+    range plus the sizes of the ranges before, of which there are no more than
+    shuffle partitions.
+    """
+    kept = cut(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    # such an id holds the range number above bit 33 and the place below
+    ranged = kept.withColumns({"_range": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND(2**33 - 1)})
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    placed = ranged.join(F.broadcast(offsets), "_range")
+    return placed.withColumn("_position", F.col("_offset") + F.col("_place") + 1).drop("_id", "_offset")
 
 
 def value_ranks(values: DataFrame, key: str) -> DataFrame:
     """Add ``rank`` to a (key, metric, value) table: place by value, largest
     first, ties sharing the smallest, per metric; missing values unranked.
 
-    A value so frequent that it would fill a slot is, but for odd chance, among
-    the sampled cut points; its rows all have the same rank and are spread
-    over partitions instead of being sorted in one.
+    A rank is the position at which a value begins.  A frequent value fills
+    many ranges; each of its rows looks only at its own range, and where the
+    value began earlier is known from the few values that open a range.
     """
-    sample = values.orderBy(F.xxhash64(key), key, "metric").limit(CUTS * len(METRICS))
-    per_metric = sample.groupBy("metric").agg(F.collect_set("value").alias("cuts"))
-    cuts = per_metric.agg(F.map_from_entries(F.collect_list(F.struct("metric", "cuts")))).scalar()
-    found = F.try_element_at("_cut_map", F.col("metric"))
-    listed = F.coalesce(found, F.array().cast("array<double>"))
-    missing = F.col("value").isNull()
-    frequent = F.array_contains("_cuts", F.col("value"))
-    larger = F.size(F.filter("_cuts", lambda cut: cut > F.col("value")))
-    slot = F.when(missing, 2 * CUTS * len(METRICS)).otherwise(2 * larger + frequent.cast("int"))
-    spread = F.when(missing | frequent, F.pmod(F.xxhash64(key), F.lit(SPREAD))).otherwise(0)
-    slotted = (
-        values.withColumn("_cut_map", cuts)
-        .withColumn("_cuts", listed)
-        .withColumns({"_slot": slot, "_spread": spread})
-        .drop("_cut_map", "_cuts")
-    )
-    inside = F.rank().over(Window.partitionBy("metric", "_slot", "_spread").orderBy(F.desc("value")))
-    rank = F.when(F.col("value").isNotNull(), F.col("_offset") + inside)
-    ranked = slotted.join(_offsets(slotted, ["metric"]), ["metric", "_slot"]).withColumn("rank", rank)
-    return ranked.select(key, "metric", "value", "rank")
+    placed = _placed(values, [F.asc("metric"), *descending("value", key)])
+    tie = ["metric", "value"]
+    opening = placed.filter((F.col("_place") == 0) & F.col("value").isNotNull()).select(*tie).distinct()
+    # these three have no more rows than there are ranges, or metrics
+    reaching = placed.join(F.broadcast(opening), tie).groupBy(*tie).agg(F.min("_position").alias("_reached"))
+    starts = placed.groupBy("metric").agg((F.min("_position") - 1).alias("_before"))
+    here = F.min("_position").over(Window.partitionBy("_range", *tie))
+    begun = placed.withColumn("_here", here).join(F.broadcast(reaching), tie, "left").join(F.broadcast(starts), "metric")
+    rank = F.coalesce("_reached", "_here") - F.col("_before")
+    return begun.select(key, *tie, F.when(F.col("value").isNotNull(), rank).alias("rank"))
 
 
 def metric_ranks(df: DataFrame, key: str = "campaign_id", metrics: Iterable[str] = METRICS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from spendlens.functions.checks import check_metric
 from spendlens.operators import flow as L
 from spendlens.operators.filters import Day, between_dates, for_key
+from spendlens.operators.lineage import cut
 from spendlens.schema import PALETTE_SIZE
 
 
@@ -25,8 +26,10 @@ def flow(df: DataFrame, primary: str, chosen: str, metric: str = "total_sales",
     them.  ``primary`` is ``campaign_id`` or ``promoted_sku``."""
     check_metric(metric)
     rows = between_dates(L.flow_rows(df), start, end)
-    forward = L.flow_forward(rows, primary, chosen, metric)
-    reverse = L.flow_reverse(rows, forward, primary, metric)
+    secondaries = L.flow_forward(rows, primary, chosen, metric)
+    # Numbering reads the links many times, so the report is read for them once.
+    reverse = cut(L.flow_reverse(rows, secondaries, primary, metric))
+    forward = L.mirrored(reverse, primary, chosen)
     links = L.name_nodes(L.union_legs(forward, reverse, primary, metric), primary, namespaced)
     label = f"{primary}:{chosen}" if namespaced else chosen
     detail = forward

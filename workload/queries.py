@@ -357,8 +357,7 @@ def rank_slice(spark, sf):
 @query
 def full_positions(spark, sf):
     totals = metrics.metric_totals(campaign_summary(spark, sf), "promoted_sku", "clicks")
-    order = [-F.col("value"), F.col("promoted_sku")]
-    return plain(ranking.with_position(totals, order))
+    return plain(ranking.with_position(totals, ranking.descending("value", "promoted_sku")))
 
 
 @query
