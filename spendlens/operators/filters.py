@@ -44,7 +44,9 @@ def for_key(df: DataFrame, column: str, value: str) -> DataFrame:
 
 
 def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.na.drop(subset=list(columns))
+    for column in columns:
+        df = df.filter(F.col(column).isNotNull())
+    return df
 
 
 def project(df: DataFrame, columns: Sequence[str], names: dict[str, str] | None = None) -> DataFrame:

@@ -1,0 +1,379 @@
+"""Small tables whose results were worked out by hand."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import campaign_row, rows
+from spendlens.functions import checks, ids, values
+from spendlens.operators import attribution, filters, flow as L, metrics, ranking, scaling
+from spendlens.plans import contribution, distribution, flows, placement, preview, score, trend
+from spendlens.schema import CAMPAIGN_SCHEMA, METRICS, OTHERS_LABEL
+
+D1, D2, D3 = (dt.date(2024, 1, d) for d in (1, 2, 3))
+
+
+# --- totals, ranks, series ----------------------------------------------------
+
+
+def test_totals_drop_missing_keys(t1):
+    assert rows(metrics.metric_totals(t1, "campaign_id", "total_sales")) == [("A", 150.0), ("B", 150.0), ("C", 60.0)]
+    assert rows(metrics.metric_totals(t1, "promoted_sku", "total_sales")) == [
+        ("1", 150.0), ("2", 150.0), ("3", 60.0), ("4", 999.0)
+    ]
+
+
+def test_means_skip_missing_values(t1):
+    assert rows(metrics.metric_totals(t1, "campaign_id", "roas")) == [("A", 2.333333), ("B", 5.0), ("C", 5.0)]
+
+
+def test_ranks_share_the_smallest_place(t1):
+    ranked = ranking.metric_ranks(t1, "campaign_id", ["total_sales", "roas"])
+    assert rows(ranked, "metric", "campaign_id", "rank") == [
+        ("roas", "A", 3), ("roas", "B", 1), ("roas", "C", 1),
+        ("total_sales", "A", 1), ("total_sales", "B", 1), ("total_sales", "C", 3),
+    ]
+
+
+def test_missing_values_are_unranked_and_last(spark):
+    totals = spark.createDataFrame([("a", None), ("b", 1.0), ("c", 2.0)], "k string, value double")
+    ranked = ranking.value_ranks(totals.withColumn("metric", F.lit("m")), "k")
+    assert rows(ranked, "k", "rank") == [("a", None), ("b", 2), ("c", 1)]
+    assert rows(ranking.rank_slice(totals, "k", 1, 3), "k", "position") == [("a", 3), ("b", 2), ("c", 1)]
+
+
+def test_positions_break_ties_by_key(t1):
+    totals = metrics.metric_totals(t1, "campaign_id", "total_sales")
+    assert rows(ranking.rank_slice(totals, "campaign_id", 1, 3), "campaign_id", "position") == [("A", 1), ("B", 2), ("C", 3)]
+    assert rows(ranking.rank_slice(totals, "campaign_id", 2, 2), "campaign_id") == [("B",)]
+    assert ranking.rank_slice(totals, "campaign_id", 4, 9).count() == 0
+
+
+def test_series_adds_up_even_mean_metrics(t1):
+    series = metrics.trend_series(t1, "roas").filter("campaign_id = 'B'")
+    assert rows(series) == [(D1, "B", "PLA", 5.0), (D2, "B", "Banner", 0.0)]
+    compared = metrics.comparison_series(t1, "A", ["total_sales", "ctr"])
+    assert rows(compared) == [(D1, 100.0, 2.0), (D2, 50.0, 2.0)]
+
+
+def test_trend_ranks_by_class(t1):
+    result = trend.trend(t1, "roas", 1, 2)
+    assert rows(result.series.select("campaign_id", "rank").distinct()) == [("B", 1), ("C", 2)]
+    assert rows(result.totals) == [("A", 2.333333), ("B", 5.0), ("C", 5.0)]
+
+
+def test_trend_drops_rows_without_placement(spark):
+    lines = [
+        campaign_row("2024-01-01", "A", None, "1", "p", 10, 1, 1, 1, 1, 1, 1, 1),
+        campaign_row("2024-01-01", "A", "PLA", "1", "p", 5, 1, 1, 1, 1, 1, 1, 1),
+    ]
+    result = trend.trend(spark.createDataFrame(lines, CAMPAIGN_SCHEMA), "total_sales")
+    assert rows(result.series) == [(D1, "A", "PLA", 5.0, 1)]
+    assert rows(result.totals) == [("A", 15.0)]
+
+
+def test_trend_of_many_campaigns_takes_the_other_join(t1, monkeypatch):
+    few = rows(trend.trend(t1, "total_sales", 1, 3).series)
+    monkeypatch.setattr(trend, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 1)
+    assert rows(trend.trend(t1, "total_sales", 1, 3).series) == few
+
+
+def test_campaign_card(t1):
+    cards = trend.compare(t1, "C", ["total_sales", "roas"]).cards
+    assert rows(cards, "metric", "value", "rank", "value_text") == [
+        ("roas", 5.0, 1, "5.00 Percentage (%)"), ("total_sales", 60.0, 3, "60.00 USD")
+    ]
+    assert trend.compare(t1, "nobody", ["total_sales", "roas"]).cards.count() == 0
+
+
+def test_page_of(t1):
+    totals = metrics.metric_totals(t1, "promoted_sku", "total_sales")
+    page = ranking.page_of(totals, "promoted_sku", 2, size=3)
+    assert rows(page, "promoted_sku", "position", "page_count") == [("3", 4, 2)]
+
+
+def test_campaign_skus_read_missing_as_zero(t1):
+    result = trend.campaign_skus(t1, "B")
+    assert rows(result.products) == [("0", "0", "brand"), ("2", "2", "blue")]
+    assert rows(result.daily, "date", "promoted_sku", "total_sales", "ctr") == [(D1, "2", 150.0, 0.5), (D2, "0", 0.0, 0.0)]
+
+
+# --- profile and overview -------------------------------------------------------
+
+
+def test_preview(t1):
+    result = preview.preview(t1)
+    assert tuple(result.facts.first()) == (3, D1, D3)
+    assert result.sample.count() == 5
+    profile = {r["metric"]: tuple(r)[1:] for r in result.profile.collect()}
+    assert profile["clicks"] == (20.0, 0.0, 6.5)
+    assert profile["roas"][:2] == (5.0, 0.0)
+    assert rows(result.overview, "campaign_id", "roas", "ctr") == [("A", 2.33, 1.33), ("B", 5.0, 0.25), ("C", 5.0, 1.0)]
+    heat = {r["campaign_id"]: r for r in result.heat.collect()}
+    assert heat["A"]["total_sales_heat"] == 1.0 and heat["C"]["total_sales_heat"] == 0.0
+
+
+def test_rounding_is_half_to_even(spark):
+    lines = [campaign_row("2024-01-01", "A", "PLA", "1", "p", 1, 1, 1, 1, 1, 1, 0.125, 0.375)]
+    overview = metrics.campaign_overview(spark.createDataFrame(lines, CAMPAIGN_SCHEMA))
+    assert rows(overview, "ctr", "roas") == [(0.12, 0.38)]
+
+
+def test_sum_of_nothing_is_zero(spark):
+    lines = [campaign_row("2024-01-01", "A", "PLA", "1", "p", None, None, None, None, None, None, None, None)]
+    grouped = metrics.grouped_metrics(spark.createDataFrame(lines, CAMPAIGN_SCHEMA), ["campaign_id"])
+    assert rows(grouped) == [("A", 0.0, 0, 0, 0.0, 0.0, 0.0, None, None)]
+
+
+# --- shares -----------------------------------------------------------------------
+
+
+def test_share_with_others(t1):
+    shares = distribution.distribution(t1, "campaign_id", "total_sales", 2).shares.filter("metric = 'total_sales'")
+    assert rows(shares, "group", "is_others", "pct") == [
+        ("A", False, 41.666667), ("B", False, 41.666667), (OTHERS_LABEL, True, 16.666667)
+    ]
+
+
+def test_others_line_stays_when_nothing_is_left(t1):
+    shares = distribution.distribution(t1, "campaign_id", "total_sales", 99).shares.filter("metric = 'clicks'")
+    assert rows(shares, "group", "is_others", "value") == [
+        ("A", False, 35.0), ("B", False, 10.0), ("C", False, 6.0), (OTHERS_LABEL, True, 0.0)
+    ]
+
+
+def test_a_group_named_others_is_kept_apart(spark):
+    lines = [
+        campaign_row("2024-01-01", name, "PLA", "1", "p", sales, 1, 1, 1, 1, 1, 1, 1)
+        for name, sales in (("others", 10), ("A", 5), ("B", 5))
+    ]
+    df = spark.createDataFrame(lines, CAMPAIGN_SCHEMA)
+    shares = distribution.distribution(df, "campaign_id", "total_sales", 1).shares.filter("metric = 'total_sales'")
+    assert rows(shares, "group", "is_others", "value", "pct") == [("others", False, 10.0, 50.0), ("others", True, 10.0, 50.0)]
+
+
+def test_shares_without_others_and_means(t1):
+    result = distribution.distribution(t1, "campaign_id", "roas", 2, combine_others=False)
+    assert rows(result.shares.filter("metric = 'clicks'"), "group", "pct") == [("B", 62.5), ("C", 37.5)]
+    assert rows(result.means) == [("B", "ctr", 0.25), ("B", "roas", 5.0), ("C", "ctr", 1.0), ("C", "roas", 5.0)]
+
+
+def test_placement_share(t1):
+    shares = placement.placement(t1.filter("campaign_id IS NOT NULL")).share
+    picked = shares.filter(F.col("metric").isin("total_sales", "roas"))
+    assert rows(picked, "placement_type", "metric", "pct") == [
+        ("Banner", "roas", 0.0), ("Banner", "total_sales", 0.0), ("PLA", "roas", 100.0), ("PLA", "total_sales", 100.0)
+    ]
+    ctr = rows(placement.placement(t1).share.filter("metric = 'ctr'"), "placement_type", "pct")
+    assert ctr == [("Banner", 31.578947), ("PLA", 68.421053)]
+
+
+# --- scores -------------------------------------------------------------------------
+
+
+def test_score(t1):
+    scored = score.score(t1, "campaign_id", 50, 30, 20)
+    assert rows(scored, "campaign_id", "score") == [("A", 0.3), ("B", 0.716279), ("C", 0.3)]
+
+
+def test_flat_metric_scores_nothing(spark):
+    lines = [campaign_row("2024-01-01", c, "PLA", "1", "p", 5, 1, 1, s, 1, 1, 1, r) for c, s, r in (("A", 1, 1), ("B", 2, 3))]
+    scored = score.score(spark.createDataFrame(lines, CAMPAIGN_SCHEMA), "campaign_id", 50, 30, 20)
+    assert rows(scored, "campaign_id", "score") == [("A", None), ("B", None)]
+
+
+def test_cumulative_score_averages_clicks(t1):
+    scored = score.cumulative_score(t1, {"clicks": 1.0})
+    # means 35/3, 5, 3
+    assert rows(scored) == [("A", 1.0), ("B", round(2 / (35 / 3 - 3), 6)), ("C", 0.0)]
+    assert [r[0] for r in scored.collect()] == ["A", "B", "C"]
+    with pytest.raises(ValueError):
+        score.cumulative_score(t1, {"roas": 1.0})
+
+
+# --- contribution ---------------------------------------------------------------------
+
+
+def test_match_status(t1, t2):
+    flagged = attribution.flag_promoted(t2, t1)
+    assert rows(flagged, "campaign_id", "purchased_sku", "total_sales", "match_status") == [
+        ("A", "1", 10.0, "promoted"), ("A", "9", 30.0, "not_promoted"), ("B", "2", 15.0, "promoted"),
+        ("B", "2", 5.0, "not_promoted"), ("C", "3", 7.0, "unmatched"),
+    ]
+    with pytest.raises(Exception, match="without a campaign report"):
+        attribution.flag_promoted(t2, t1, on_unmatched="error").collect()
+
+
+def test_contribution(t1, t2):
+    result = contribution.promoted_contribution(t2, t1)
+    assert rows(result.contribution, "campaign_id", "category", "contribution_pct") == [
+        ("A", "Non-Promoted SKU", 75.0), ("A", "Promoted SKU", 25.0),
+        ("B", "Non-Promoted SKU", 25.0), ("B", "Promoted SKU", 75.0),
+        ("C", "Non-Promoted SKU", 100.0),
+    ]
+    assert [r[0] for r in result.campaigns.collect()] == ["A", "B", "C"]
+    levels = rows(result.hierarchy, "level", "campaign_id", "category", "total_sales")
+    assert (0, None, None, 67.0) in levels and (1, "A", None, 40.0) in levels
+    assert (2, "B", "Promoted SKU", 15.0) in levels and len(levels) == 9
+
+
+def test_campaign_sales_window(t1, t2):
+    result = contribution.campaign_sales(t2, t1, "B", start="2024-01-02")
+    assert rows(result.daily) == [(D2, False, 5.0, "Non-Promoted SKU")]
+    assert rows(result.detail, "total_sales", "match_status") == [(5.0, "not_promoted")]
+
+
+def test_promoted_sets(t1, t2):
+    sets = rows(attribution.promoted_sets(t1).withColumn("s", F.array_join("promoted_skus", ",")),
+                "campaign_id", "date", "n_skus", "s")
+    assert ("A", D1, 2, "1,2") in sets and ("B", D2, 0, "") in sets and len(sets) == 6
+    members = attribution.set_membership(t2, t1)
+    assert rows(members, "campaign_id", "total_sales", "is_promoted") == [
+        ("A", 10.0, True), ("A", 30.0, False), ("B", 15.0, True), ("B", 5.0, False), ("C", 7.0, False)
+    ]
+
+
+# --- flow ---------------------------------------------------------------------------------
+
+
+def test_flow_from_campaign(t1):
+    result = flows.flow(t1, "campaign_id", "A")
+    assert rows(result.links, "leg", "source", "target", "value", "source_id", "target_id", "slot") == [
+        ("forward", "A", "1", 150.0, 0, 1, 0), ("forward", "A", "2", 1e-06, 0, 2, 1),
+        ("reverse", "1", "A", 150.0, 1, 0, 0), ("reverse", "2", "A", 1e-06, 2, 0, 1),
+        ("reverse", "2", "B", 150.0, 2, 3, 2),
+    ]
+    assert rows(result.nodes) == [("1", 1), ("2", 2), ("A", 0), ("B", 3)]
+
+
+def test_flow_from_sku(t1):
+    result = flows.flow(t1, "promoted_sku", "2", "clicks")
+    assert rows(result.links, "leg", "source", "target", "value") == [
+        ("forward", "2", "A", 5.0), ("forward", "2", "B", 10.0),
+        ("reverse", "A", "1", 30.0), ("reverse", "A", "2", 5.0), ("reverse", "B", "2", 10.0),
+    ]
+    assert rows(result.nodes) == [("1", 3), ("2", 0), ("A", 1), ("B", 2)]
+
+
+def test_product_names_fan_out(t1):
+    detail = flows.flow(t1, "campaign_id", "C").detail
+    assert rows(detail, "campaign_id", "promoted_sku", "promoted_product", "total_sales") == [
+        ("C", "3", "r1", 60.0), ("C", "3", "r2", 60.0)
+    ]
+    by_sku = flows.flow(t1, "promoted_sku", "3").detail
+    assert rows(by_sku, "campaign_id", "promoted_product") == [("C", "r1"), ("C", "r2")]
+
+
+def test_equal_text_is_one_node_unless_namespaced(spark):
+    lines = [campaign_row("2024-01-01", "7", "PLA", "7", "p", 5, 1, 1, 1, 1, 1, 1, 1)]
+    df = spark.createDataFrame(lines, CAMPAIGN_SCHEMA)
+    assert rows(flows.flow(df, "campaign_id", "7").nodes) == [("7", 0)]
+    named = flows.flow(df, "campaign_id", "7", namespaced=True)
+    assert rows(named.nodes) == [("campaign_id:7", 0), ("promoted_sku:7", 1)]
+    assert rows(named.links, "leg", "source_id", "target_id", "slot") == [("forward", 0, 1, 0), ("reverse", 1, 0, 0)]
+
+
+def test_flow_ids_lose_their_decimal_part(spark):
+    lines = [campaign_row("2024-01-01", "7.0", "PLA", s, "p", 5, 1, 1, 1, 1, 1, 1, 1) for s in ("12.0", "12")]
+    df = spark.createDataFrame(lines, CAMPAIGN_SCHEMA)
+    assert rows(L.flow_forward(L.flow_rows(df), "campaign_id", "7", "total_sales")) == [("7", "12", 10.0)]
+
+
+def test_palette_cycles(spark):
+    lines = [campaign_row("2024-01-01", "A", "PLA", f"{s:02}", "p", 1, 1, 1, 1, 1, 1, 1, 1) for s in range(14)]
+    links = flows.flow(spark.createDataFrame(lines, CAMPAIGN_SCHEMA), "campaign_id", "A").links
+    slots = dict(rows(links.filter("leg = 'forward'"), "target", "slot"))
+    assert [slots[f"{s:02}"] for s in range(14)] == [*range(12), 0, 1]
+
+
+# --- row expressions and arguments -----------------------------------------------------------
+
+
+def test_dirty_ids_and_dates(spark):
+    df = spark.createDataFrame([("123.0", "2024-01-01"), ("123", "bad"), (None, None), ("x", "2024-02-30")], "i string, d string")
+    assert [r[0] for r in df.select(ids.canonical_id("i")).collect()] == ["123", "123", None, "x"]
+    assert [r[0] for r in df.select(ids.numeric_id_text("i")).collect()] == ["123", "123", "0", None]
+    assert [r[0] for r in df.select(ids.parse_date_lenient("d")).collect()] == [D1, None, None, None]
+
+
+def test_report_dates(spark):
+    df = spark.createDataFrame([("2024-01-01",), ("45292",), ("45292.5",), (None,)], "d string")
+    assert [r[0] for r in df.select(ids.parse_report_date("d")).collect()] == [D1, D1, D1, None]
+    bad = spark.createDataFrame([("soon",)], "d string").select(ids.parse_report_date("d"))
+    with pytest.raises(Exception):
+        bad.collect()
+
+
+def test_division_by_zero_is_missing(spark):
+    df = spark.createDataFrame([(1.0, 0.0), (1.0, 4.0)], "a double, b double")
+    assert [r[0] for r in df.select(values.percent_of("a", "b")).collect()] == [None, 25.0]
+
+
+def test_units_and_classes(spark):
+    df = spark.createDataFrame([(m,) for m in [*METRICS, "other"]], "m string")
+    found = {r[0]: (r[1], r[2]) for r in df.select("m", values.unit_of("m"), values.class_of("m")).collect()}
+    assert found["clicks"] == ("Count", "sum") and found["ctr"] == ("Percentage (%)", "mean")
+    assert found["other"] == ("", None)
+
+
+def test_windows(t1):
+    def days(*args):
+        return sorted({r[0] for r in filters.between_dates(t1, *args).select("date").collect()})
+
+    assert days() == [D1, D2, D3]
+    assert days("2024-01-02") == [D2, D3]
+    assert days(None, "2024-01-02") == [D1, D2]
+    assert days("2024-01-02", None, "both_or_full") == [D1, D2, D3]
+    assert days("2024-01-02", "2024-01-02", "both_or_full") == [D2]
+
+
+def test_rows_without_date_never_qualify(spark):
+    df = spark.createDataFrame([(None,), (D1,)], "date date")
+    assert filters.between_dates(df).count() == 1
+
+
+def test_null_label_keeps_a_group(spark, t1):
+    from spendlens.sources.normalize import normalize_campaign
+
+    labelled = normalize_campaign(t1, null_label="nan")
+    assert ("nan", 999.0) in rows(metrics.metric_totals(labelled, "campaign_id", "total_sales"))
+
+
+def test_nan_counts_as_missing(spark, t1):
+    from spendlens.sources.normalize import normalize_campaign
+
+    dirty = t1.withColumn("roas", F.when(F.col("campaign_id") == "A", float("nan")).otherwise(F.col("roas")))
+    totals = metrics.metric_totals(normalize_campaign(dirty), "campaign_id", "roas")
+    assert rows(totals) == [("A", None), ("B", 5.0), ("C", 5.0)]
+
+
+def test_argument_checks(t1):
+    with pytest.raises(ValueError):
+        checks.check_weights(33, 33, 33)
+    checks.check_weights(33, 33, 34)
+    for bad in (["clicks"], ["clicks", "clicks"], ["clicks", "size"], ["clicks", "spend", "ctr"]):
+        with pytest.raises(ValueError):
+            checks.check_metric_pair(bad)
+    with pytest.raises(ValueError):
+        ranking.rank_slice(t1, "campaign_id", 0, 3, "total_sales")
+    with pytest.raises(ValueError):
+        score.score(t1, "placement_type", 50, 30, 20)
+    with pytest.raises(ValueError):
+        flows.flow(t1, "placement_type", "PLA")
+
+
+def test_members(t1):
+    keys = t1.select("campaign_id").filter("campaign_id = 'A'").distinct()
+    assert filters.keep_members(t1, keys, "campaign_id").count() == 3
+    assert filters.exclude_members(t1, keys, "campaign_id", rows=1).count() == 5
+
+
+def test_column_totals(t1):
+    grouped = metrics.placement_totals(t1)
+    totals = metrics.column_totals(grouped).first()
+    assert totals["clicks"] == 52.0
+    assert round(totals["ctr"], 6) == round(6.5 / 6 + 1 / 2, 6)
+    assert rows(scaling.column_share(metrics.long_metrics(grouped, ["placement_type"], ["clicks"]), ["placement_type"]),
+                "placement_type", "value") == [("Banner", 5.0), ("PLA", 47.0)]
