@@ -22,7 +22,6 @@ from spendlens.operators.skew import heavy_keys, salted_left_join
 from spendlens.schema import BROADCAST_ROWS, CAMPAIGN_LABELS, METRICS, SALES_LABELS
 
 LEAD_ROWS = 3
-CSV_COLUMNS = 256  # most columns of a text report
 SHEET_BYTES = 512 * 1024 * 1024  # largest spreadsheet file that is opened
 BATCH_ROWS = 20_000
 
@@ -72,21 +71,24 @@ def quarantine(spark: SparkSession, paths: str | Sequence[str], kind: str, fmt:
     return read_report(spark, paths, kind, fmt, lead_rows).rejected
 
 
-def _read_csv(spark: SparkSession, paths: list[str], lead_rows: int, labels: list[str],
-              required: list[str]) -> tuple[DataFrame, DataFrame]:
-    names = [f"c{i}" for i in range(CSV_COLUMNS)]
-    schema = ", ".join(f"{n} string" for n in names)
+def _cells(line: str) -> Column:
+    """Cells of a line of comma-separated text.  (``from_csv`` wants one number
+    of columns for all files, and is slow on lines with another.)"""
+    outside_quotes = r',(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'
+    quoted = F.transform(
+        F.split(line, outside_quotes), lambda c: F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))
+    )
+    return F.when(F.contains(F.col(line), F.lit('"')), quoted).otherwise(F.split(line, ","))
 
-    def parsed(line: str) -> Column:
-        record = F.from_csv(line, schema)
-        return F.array(*[record[n] for n in names])
 
+def _read_csv(spark: SparkSession, paths: list[str], lead_rows: int, labels: list[str],
+              required: list[str]) -> tuple[DataFrame, DataFrame]:
     text = spark.read.text(paths)
     lines = text.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"),
-        F.regexp_replace("value", "^﻿|\r$", "").alias("line"),
+        F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"),
     )
     # Lines of one file block are consecutive, so the smallest id of the first
     # block is the file's first line.
@@ -102,24 +104,21 @@ def _read_csv(spark: SparkSession, paths: list[str], lead_rows: int, labels: lis
         return salted_left_join(rows, files, ["path"], heavy).filter(F.col("start").isNotNull())
 
     heads = by_file(blocks, starts).groupBy("path").agg(F.max("start").alias("start"), head_line.alias("head"))
-    heads = heads.withColumn("headings", parsed("head"))
+    headings = heads.withColumn("headings", _cells("head"))
     lacking = F.array_except(F.array(*map(F.lit, required)), "headings")
-    heads = heads.withColumn(
-        "error",
-        F.when(F.trim("head").isNull() | (F.trim("head") == ""), NO_HEADINGS).when(
-            F.size(lacking) > 0, F.concat(F.lit("missing columns: "), F.array_join(lacking, ", "))
-        ),
-    )
-    rejected = heads.filter(F.col("error").isNotNull()).select("path", "error")
+    missing = F.concat(F.lit("missing columns: "), F.array_join(lacking, ", "))
+    empty = F.coalesce(F.trim("head"), F.lit("")) == ""
+    checked = headings.withColumn("error", F.when(empty, NO_HEADINGS).when(F.size(lacking) > 0, missing))
+    rejected = checked.filter(F.col("error").isNotNull()).select("path", "error")
 
-    places = F.array(*[F.array_position("headings", label) for label in labels])
-    accepted = heads.filter(F.col("error").isNull()).select("path", "start", places.alias("places"))
+    # place 0 means the report lacks the heading
+    places = [F.array_position("headings", label).alias(f"place{i}") for i, label in enumerate(labels)]
+    accepted = checked.filter(F.col("error").isNull()).select("path", "start", *places)
     lead = (F.col("block") == 0) & (F.col("id") - F.col("start") <= lead_rows)
     data = by_file(lines, accepted).filter(~lead & (F.trim("line") != ""))
-    record = data.withColumn("record", parsed("line"))
-    # place 0 means the report lacks the heading
-    fields = F.transform("places", lambda p: F.get("record", (p - 1).cast("int")))
-    return record.select("path", fields.alias("fields")), rejected
+    record = data.withColumn("record", _cells("line"))
+    fields = [F.get("record", (F.col(f"place{i}") - 1).cast("int")) for i in range(len(labels))]
+    return record.select("path", F.array(*fields).alias("fields")), rejected
 
 
 def _read_xlsx(spark: SparkSession, paths: list[str], lead_rows: int, labels: list[str],
