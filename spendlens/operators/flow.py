@@ -17,7 +17,7 @@ from spendlens.functions.values import zero_to_epsilon
 from spendlens.operators.filters import distinct_values, drop_missing, for_key, keep_members
 from spendlens.operators.metrics import grouped_metrics
 from spendlens.operators.ranking import first_seen_index
-from spendlens.operators.skew import key_hashes, salted_left_join
+from spendlens.operators.skew import heavy_keys, key_hashes, salted_left_join
 from spendlens.schema import PALETTE_SIZE
 
 SIDES = ("campaign_id", "promoted_sku")
@@ -108,18 +108,16 @@ def flow_pair_slots(links: DataFrame, palette: int = PALETTE_SIZE) -> DataFrame:
     return ids.withColumn("slot", F.pmod("pair_id", F.lit(palette)))
 
 
-def number_links(links: DataFrame, chosen: str, palette: int = PALETTE_SIZE) -> DataFrame:
+def number_links(links: DataFrame, nodes: DataFrame, slots: DataFrame) -> DataFrame:
     """Links with node ids of both ends and the palette slot of their pair.
-    The chosen label is an end of very many links, so its lookups are dealt out."""
-    nodes = flow_nodes(links)
-    heavy = key_hashes([chosen])
+    The chosen label, and perhaps others, is an end of very many links, so the
+    lookups of frequent labels are dealt out."""
     numbered = links
-    for end in ("source", "target"):
+    for end, heavy in zip(("source", "target"), heavy_keys(links, ["source"], ["target"])):
         ids = nodes.select(F.col("label").alias(end), F.col("node_id").alias(f"{end}_id"))
         numbered = salted_left_join(numbered, ids, [end], heavy)
-    slots = flow_pair_slots(links, palette).drop("pair_id")
     keyed = numbered.withColumns({"lo": F.least("source", "target"), "hi": F.greatest("source", "target")})
-    return keyed.join(slots, ["lo", "hi"], "left").drop("lo", "hi")
+    return keyed.join(slots.drop("pair_id"), ["lo", "hi"], "left").drop("lo", "hi")
 
 
 def with_product(links: DataFrame, rows: DataFrame, chosen: str | None = None) -> DataFrame:

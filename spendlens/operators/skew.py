@@ -9,22 +9,31 @@ from pyspark.sql import functions as F
 
 HEAVY_KEYS = 64  # most keys that are treated as frequent
 TRACKED_KEYS = 10_000  # size of the frequent-items sketch
+MERGE_GROUPS = 512  # partial merges of the tasks' sketches
 SALTS = 1024  # shares of one frequent key
 
 
 def heavy_keys(df: DataFrame, *key_lists: Sequence[str]) -> list[Column]:
     """For each key list, the hashes of keys that hold a notable part of the rows.
 
-    One pass over the key columns with a sketch of fixed size; at most
-    ``HEAVY_KEYS`` numbers per list come back and become literals of the plan,
-    so both sides of a join see the same ones.  A table without frequent keys
-    yields an empty list; the list only steers how work is shared out.
+    One pass over the key columns with a sketch of fixed size per task; the
+    sketches are merged in groups, then together, and at most ``HEAVY_KEYS``
+    numbers per list come back.  They become literals of the plan, so both
+    sides of a join see the same ones.  A table without frequent keys yields an
+    empty list; the list only steers how work is shared out.
     """
     names = [f"h{i}" for i in range(len(key_lists))]
-    hashed = df.select(*[F.xxhash64(*keys).alias(n) for n, keys in zip(names, key_lists)])
-    found = [F.expr(f"approx_top_k({n}, {HEAVY_KEYS}, {TRACKED_KEYS})") for n in names]
-    row = hashed.agg(*[F.transform(f, lambda x: x["item"]).alias(n) for n, f in zip(names, found)]).first()
-    return [F.array(*map(F.lit, row[n] or [])).cast("array<bigint>") for n in names]
+    hashed = df.select(
+        F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("merge_group"),
+        *[F.xxhash64(*keys).alias(n) for n, keys in zip(names, key_lists)],
+    )
+    grouped = hashed.groupBy("merge_group").agg(
+        *[F.expr(f"approx_top_k_accumulate({n}, {TRACKED_KEYS})").alias(n) for n in names]
+    )
+    row = grouped.agg(*[
+        F.expr(f"approx_top_k_estimate(approx_top_k_combine({n}, {TRACKED_KEYS}), {HEAVY_KEYS})").alias(n) for n in names
+    ]).first()
+    return [F.array(*[F.lit(found["item"]) for found in row[n] or []]).cast("array<bigint>") for n in names]
 
 
 def key_hashes(*keys: Sequence[str]) -> Column:
@@ -40,7 +49,8 @@ def salted_left_join(left: DataFrame, right: DataFrame, on: Sequence[str], heavy
     of a frequent key are dealt out by the input partition they come from, and
     only the right rows of those few keys are repeated once per share.  The
     partition number does not depend on row order, so a task that is run again
-    deals its rows the same way.
+    deals its rows the same way.  The repeated side is shuffled anew, so below
+    the sketch's notice adaptive execution can still split a large partition.
     """
     on = list(on)
     is_heavy = F.array_contains(heavy, F.xxhash64(*(heavy_on or on)))

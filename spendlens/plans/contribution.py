@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -17,9 +19,22 @@ class Contribution(NamedTuple):
     campaigns: DataFrame
 
 
-class CampaignSales(NamedTuple):
-    daily: DataFrame
-    detail: DataFrame
+@dataclass(frozen=True)
+class CampaignSales:
+    """Sales of one campaign; each table is made when it is first asked for."""
+
+    sales: DataFrame
+    campaign: DataFrame
+    chosen: str
+    on_unmatched: str
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        return A.promoted_daily(self.sales, self.campaign, self.chosen)
+
+    @cached_property
+    def detail(self) -> DataFrame:
+        return A.flag_promoted(self.sales, self.campaign, self.on_unmatched)
 
 
 def promoted_contribution(sales: DataFrame, campaign: DataFrame, start: Day = None, end: Day = None) -> Contribution:
@@ -35,4 +50,4 @@ def campaign_sales(sales: DataFrame, campaign: DataFrame, chosen: str, start: Da
     """Promoted and other sales of one campaign by day, and its flagged rows."""
     rows = for_key(between_dates(sales, start, end), "campaign_id", chosen)
     own = for_key(campaign, "campaign_id", chosen)
-    return CampaignSales(A.promoted_daily(rows, own, chosen), A.flag_promoted(rows, own, on_unmatched))
+    return CampaignSales(rows, own, chosen, on_unmatched)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -13,27 +14,54 @@ from spendlens.operators.lineage import cut
 from spendlens.schema import PALETTE_SIZE
 
 
-class Flow(NamedTuple):
-    links: DataFrame
-    nodes: DataFrame
-    detail: DataFrame
+@dataclass(frozen=True)
+class Flow:
+    """Tables of one flow view; each is made when it is first asked for."""
+
+    rows: DataFrame
+    primary: str
+    chosen: str
+    metric: str
+    namespaced: bool
+    palette: int
+
+    @cached_property
+    def forward(self) -> DataFrame:
+        return L.flow_forward(self.rows, self.primary, self.chosen, self.metric)
+
+    @cached_property
+    def legs(self) -> DataFrame:
+        """Both legs.  Numbering reads them many times, so they are kept."""
+        reverse = cut(L.flow_reverse(self.rows, self.forward, self.primary, self.metric))
+        forward = L.mirrored(reverse, self.primary, self.chosen)
+        return L.name_nodes(L.union_legs(forward, reverse, self.primary, self.metric), self.primary, self.namespaced)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return L.flow_nodes(self.legs)
+
+    @cached_property
+    def slots(self) -> DataFrame:
+        return L.flow_pair_slots(self.legs, self.palette)
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return L.number_links(self.legs, self.nodes, self.slots)
+
+    @cached_property
+    def detail(self) -> DataFrame:
+        """Forward links, with product names where the report has them."""
+        if "promoted_product" not in self.rows.columns:
+            return self.forward
+        own = for_key(self.rows, self.primary, self.chosen)
+        return L.with_product(self.forward, own, self.chosen if self.primary == "promoted_sku" else None)
 
 
 def flow(df: DataFrame, primary: str, chosen: str, metric: str = "total_sales", start: Day = None, end: Day = None,
          namespaced: bool = False, palette: int = PALETTE_SIZE) -> Flow:
     """Links chosen → its secondaries → all their primaries, the numbered
-    nodes, and the forward links, with product names where the report has
-    them.  ``primary`` is ``campaign_id`` or ``promoted_sku``."""
+    nodes and pairs, and the forward links with product names.  ``primary`` is
+    ``campaign_id`` or ``promoted_sku``."""
     check_metric(metric)
-    rows = between_dates(L.flow_rows(df), start, end)
-    secondaries = L.flow_forward(rows, primary, chosen, metric)
-    # Numbering reads the links many times, so the report is read for them once.
-    reverse = cut(L.flow_reverse(rows, secondaries, primary, metric))
-    forward = L.mirrored(reverse, primary, chosen)
-    links = L.name_nodes(L.union_legs(forward, reverse, primary, metric), primary, namespaced)
-    label = f"{primary}:{chosen}" if namespaced else chosen
-    detail = forward
-    if "promoted_product" in df.columns:
-        own = for_key(rows, primary, chosen)
-        detail = L.with_product(forward, own, chosen if primary == "promoted_sku" else None)
-    return Flow(L.number_links(links, label, palette), L.flow_nodes(links), detail)
+    L.other_side(primary)
+    return Flow(between_dates(L.flow_rows(df), start, end), primary, chosen, metric, namespaced, palette)

@@ -248,7 +248,8 @@ def promoted_sales(spark, sf):
 
 @query
 def promoted_daily(spark, sf):
-    return plain(attribution.promoted_daily(sales_report(spark, sf), monthly_promotions(spark, sf), CAMPAIGN))
+    parts = contribution.campaign_sales(sales_report(spark, sf), monthly_promotions(spark, sf), CAMPAIGN)
+    return plain(parts.daily)
 
 
 @query
@@ -339,8 +340,8 @@ def campaign_card(spark, sf):
 
 @query
 def sales_contribution(spark, sf):
-    parts = contribution.promoted_contribution(sales_report(spark, sf), monthly_promotions(spark, sf))
-    return plain(parts.contribution)
+    by_flag = attribution.promoted_sales(sales_report(spark, sf), monthly_promotions(spark, sf))
+    return plain(attribution.sales_contribution(by_flag))
 
 
 @query
@@ -373,11 +374,7 @@ def flow_nodes(spark, sf):
 
 @query
 def flow_pair_slots(spark, sf):
-    rows = filters.between_dates(links_of.flow_rows(campaign_summary(spark, sf)), DAY_ONE, START)
-    forward = links_of.flow_forward(rows, "campaign_id", CAMPAIGN, "total_sales")
-    reverse = links_of.flow_reverse(rows, forward, "campaign_id", "total_sales")
-    links = links_of.union_legs(forward, reverse, "campaign_id", "total_sales")
-    return links_of.flow_pair_slots(links)
+    return flows.flow(campaign_summary(spark, sf), "campaign_id", CAMPAIGN, start=DAY_ONE, end=START).slots
 
 
 @query
