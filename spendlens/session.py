@@ -8,7 +8,8 @@ from pyspark.sql import SparkSession
 def build_session(app: str = "spendlens", master: str | None = None, **conf: str) -> SparkSession:
     """Get or create a session.  Adaptive execution sizes the reduce side and
     splits skewed joins; on a cluster leave ``spark.sql.shuffle.partitions``
-    at a few thousand and let it coalesce."""
+    at a few thousand and let it coalesce, and name a shared folder in
+    ``spark.checkpoint.dir``."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -16,6 +17,7 @@ def build_session(app: str = "spendlens", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | conf

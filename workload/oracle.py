@@ -308,7 +308,7 @@ ORACLE: dict[str, str] = {
     + "SELECT " + ", ".join(f"{near(f'CAST(sum({m}) AS DOUBLE)')} AS {m}" for m in METRICS) + " FROM g",
     "sales_hierarchy": SP.rstrip() + f",\n{BY_FLAG}\n"
     + "SELECT campaign_id, category, CAST(sum(total_sales) AS DOUBLE) AS total_sales, "
-    "CASE WHEN campaign_id IS NULL THEN 0 WHEN category IS NULL THEN 1 ELSE 2 END AS level, "
+    "CAST(CASE WHEN campaign_id IS NULL THEN 0 WHEN category IS NULL THEN 1 ELSE 2 END AS BIGINT) AS level, "
     + near("CAST(sum(total_sales) AS DOUBLE) / NULLIF((SELECT CAST(sum(total_sales) AS DOUBLE) FROM by_flag), 0) * 100")
     + " AS pct FROM by_flag GROUP BY ROLLUP (campaign_id, category)",
     "campaign_products": C
