@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spendlens.functions.checks import check_choice
-from spendlens.schema import CAMPAIGN_SCHEMA, SALES_SCHEMA
+from spendlens.schema import CAMPAIGN_LABELS, CAMPAIGN_SCHEMA, SALES_LABELS, SALES_SCHEMA
 
 # The two tables and their schemas.
 TABLES = {"campaign_summary": CAMPAIGN_SCHEMA, "sales_report": SALES_SCHEMA}
@@ -30,6 +30,11 @@ def table(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[name])
 
 
+def with_headings(df: DataFrame) -> DataFrame:
+    """Columns under their report headings; others keep their names."""
+    return df.withColumnsRenamed(CAMPAIGN_LABELS | SALES_LABELS)
+
+
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                  partition_by: str | None = None) -> None:
     """Write a result table as Parquet or CSV with headings."""

@@ -12,7 +12,7 @@ from spendlens.plans.load import load_reports
 from spendlens.schema import CAMPAIGN_LABELS, CAMPAIGN_SCHEMA, SALES_LABELS
 from spendlens.sources import reports
 from spendlens.sources.normalize import normalize_campaign, normalize_sales
-from spendlens.sources.tables import register, table, write_result
+from spendlens.sources.tables import register, table, with_headings, write_result
 
 LEAD = [["Report", "Campaign, all"], [], ["made", "2024-02-01"]]
 CAMPAIGN_CELLS = [list(CAMPAIGN_LABELS.values())] + [
@@ -58,8 +58,11 @@ def xlsx_file(path, cells, lead=LEAD, shared=False):
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     link = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     with zipfile.ZipFile(path, "w") as book:
-        book.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{link}"><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>')
-        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{link}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        sheets = '<sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets>'
+        target = f'<Relationship Id="r1" Type="{link}/worksheet" Target="worksheets/sheet1.xml"/>'
+        parts = 'xmlns="http://schemas.openxmlformats.org/package/2006/relationships"'
+        book.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{link}">{sheets}</workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f"<Relationships {parts}>{target}</Relationships>")
         book.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>")
         if shared:
             items = "".join(f"<si><t>{escape(t)}</t></si>" for t in texts)
@@ -186,6 +189,11 @@ def test_require_columns(t1):
         reports.require_columns(t1.drop("roas", "ctr"))
 
 
+def test_headings(t1):
+    renamed = with_headings(t1.select("campaign_id", "total_sales", "date").withColumnRenamed("date", "day"))
+    assert renamed.columns == ["CAMPAIGN ID", "TOTAL SALES", "day"]
+
+
 def test_write_result(spark, t1, tmp_path):
     flat = t1.select("campaign_id", "clicks", "date")
     for fmt, reader in (("parquet", spark.read.parquet), ("csv", lambda p: spark.read.csv(p, header=True))):
