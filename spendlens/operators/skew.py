@@ -30,10 +30,12 @@ def heavy_keys(df: DataFrame, *key_lists: Sequence[str]) -> list[Column]:
     grouped = hashed.groupBy("merge_group").agg(
         *[F.expr(f"approx_top_k_accumulate({n}, {TRACKED_KEYS})").alias(n) for n in names]
     )
-    row = grouped.agg(*[
+    # a grouping key, since the sketch cannot be merged over an empty partition
+    row = grouped.groupBy(F.lit("all")).agg(*[
         F.expr(f"approx_top_k_estimate(approx_top_k_combine({n}, {TRACKED_KEYS}), {HEAVY_KEYS})").alias(n) for n in names
     ]).first()
-    return [F.array(*[F.lit(found["item"]) for found in row[n] or []]).cast("array<bigint>") for n in names]
+    found = {n: [item["item"] for item in row[n]] if row else [] for n in names}
+    return [F.array(*map(F.lit, found[n])).cast("array<bigint>") for n in names]
 
 
 def key_hashes(*keys: Sequence[str]) -> Column:

@@ -38,6 +38,23 @@ def test_no_heavy_keys_in_even_data(spark):
     assert spark.range(1).select(F.size(heavy)).first()[0] == 0
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_heavy_keys_of_empty_partitions_and_tables(spark, lopsided, adaptive):
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        for rows_left, expected in ((lopsided.filter("k = '0'").coalesce(1), 1), (lopsided.filter("k = 'none'"), 0)):
+            [heavy] = skew.heavy_keys(rows_left, ["k"])
+            assert spark.range(1).select(F.size(heavy)).first()[0] == expected
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_flagging_without_sales(spark):
+    empty = sales_of(spark, 10).filter("campaign_id = 'none'")
+    assert A.flag_promoted(empty, promotions_of(spark, 10)).count() == 0
+    assert A.set_membership(empty, promotions_of(spark, 10).filter("campaign_id = 'none'")).count() == 0
+
+
 def test_salted_join_deals_out_and_keeps_rows(spark, lopsided):
     dim = spark.createDataFrame([("0", "zero"), ("1", "one")], "k string, name string")
     [heavy] = skew.heavy_keys(lopsided, ["k"])
