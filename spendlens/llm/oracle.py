@@ -3,3 +3,47 @@
 from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLE["op1_line_dedup"] = f"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), keyed AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS n FROM split
+), keys AS (
+  SELECT doc_id, line, n, {LOWER.format(f"trim(line, {SPACE})")} AS key FROM keyed
+), repeated AS (
+  SELECT key FROM keys WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(r.key)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE r.key IS NULL), '')) AS kept_sha256
+FROM keys LEFT JOIN repeated r USING (key)
+GROUP BY doc_id
+"""
+
+WORDS = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE["op8_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+b AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, len(x) AS size, array_to_string(x, ' ') AS win
+  FROM (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: w[i:i + 9])) AS x
+        FROM b WHERE len(w) > 0)
+),
+sizes AS (SELECT DISTINCT size FROM item_windows),
+doc_windows AS (
+  SELECT doc_id, size, p, array_to_string(w[p:p + size - 1], ' ') AS win
+  FROM (SELECT doc_id, size, w, unnest(range(1, len(w) - size + 2)) AS p FROM d, sizes WHERE len(w) >= size)
+),
+hits AS (SELECT doc_id, p, size, item_id FROM doc_windows JOIN item_windows USING (size, win)),
+hit_words AS (SELECT doc_id, count(DISTINCT q) AS n_hit
+              FROM (SELECT doc_id, unnest(range(p, p + size)) AS q FROM hits) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+              FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""

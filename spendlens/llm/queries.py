@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spendlens.llm import bpe, counts, planes
+from spendlens.llm import bpe, counts, decontam, lines, planes
 from spendlens.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,13 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = lines.drop_repeated_lines(docs, min_docs=10, keep_first=False)
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query
 def op3_bit_planes(spark, sf_dir):
     folder = shared_path(spark, "ids")
@@ -33,6 +41,16 @@ def op7_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query
+def op8_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 @query
 def op9_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
