@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import bpe, counts, decontam, lines, planes
+from spendlens.llm import bpe, counts, decontam, lines, planes, subword, toxicity
 from spendlens.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,27 @@ def op3_bit_planes(spark, sf_dir):
     return planes.read_ids(spark, folder, digest=True)
 
 
+@query
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return judged(scored, toxicity.CUTOFF)
+
+
+@query
+def op6_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = subword.score(docs, subword.fit(docs, table(spark, sf_dir, "labels")))
+    return judged(scored, 0.5)
+
+
+def judged(scored: DataFrame, cutoff: float) -> DataFrame:
+    return scored.select(
+        "doc_id", subword.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= cutoff).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op7_byte_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")

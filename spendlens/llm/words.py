@@ -54,3 +54,14 @@ def by_bytes(values: Iterable, most: int, size: Callable = len) -> Iterator[list
         held += n
     if group:
         yield group
+
+
+_by_model: dict[str, Memory] = {}
+
+
+def memory_of(model: str) -> Memory:
+    """This worker's memory of what a model gives for each stretch; that of an earlier model goes."""
+    if model not in _by_model:
+        _by_model.clear()
+        _by_model[model] = Memory()
+    return _by_model[model]
