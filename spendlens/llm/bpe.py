@@ -78,7 +78,7 @@ class Bpe:
         self.of_two = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)  # empty again after each call
         self.known = Memory()
-        self.heads, self.tails = Memory(), Memory()
+        self.heads, self.tails = Memory(100_000), Memory()
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each pre-token; many share one run of the queue."""

@@ -101,7 +101,7 @@ def unpack(index: list[list[int]], payload: bytes, n_ids: int, block: int, bits:
 
 @cache
 def memories(path: str) -> tuple[Memory, Memory]:
-    return Memory(), Memory()
+    return Memory(100_000), Memory(650_000)
 
 
 @cache

@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-#: Stretches of a generation of a worker's memory, and their characters.
-REMEMBERED, REMEMBERED_CHARS = 350_000, 8_000_000
+#: Stretches of a generation of a worker's memory, and characters for each.
+REMEMBERED, REMEMBERED_CHARS = 350_000, 24
 
 
 def is_open(part: str) -> bool:
@@ -23,15 +23,15 @@ class Memory(dict):
     """Stretch -> its tokens.  Of older stretches only those met in the last two
     generations stay, so the size is bounded and frequent ones are computed once."""
 
-    def __init__(self):
+    def __init__(self, limit: int = REMEMBERED):
         super().__init__()
-        self.chars, self.older = 0, {}
+        self.limit, self.chars, self.older = limit, 0, {}
 
     def learn(self, parts: Iterable[Iterable[str]], compute: Callable[[list[str]], Iterable]) -> None:
         """Make every part of these texts known."""
         wanted = set().union(*parts)
         missing = wanted.difference(self)
-        if len(self) + len(missing) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+        if len(self) + len(missing) > self.limit or self.chars > self.limit * REMEMBERED_CHARS:
             self.older = dict(self)
             self.clear()
             self.chars, missing = 0, wanted
