@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import bpe, counts, decontam, lines, planes, subword, toxicity
+from spendlens.llm import bpe, counts, decontam, jaccard, lines, planes, subword, toxicity
 from spendlens.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op3_bit_planes(spark, sf_dir):
     return planes.read_ids(spark, folder, digest=True)
 
 
+@query
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
