@@ -8,10 +8,13 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of rows that a Python step handles at a time.
 SLICE_BYTES = 4_000_000
+#: Most rows of a few short columns that are broadcast.
+MOST_BROADCAST = 1 << 21
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -45,6 +48,11 @@ def kept(df: DataFrame, kind: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_broadcast(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """Marked for broadcast if it has at most ``most`` rows, else left to be shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def require(df: DataFrame, *columns: str) -> None:
     lacking = [c for c in columns if c not in df.columns]
     if lacking:

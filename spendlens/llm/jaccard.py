@@ -19,14 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlens.llm.common import kept, require, with_columns
+from spendlens.llm.common import bounded_broadcast, kept, require, with_columns
 from spendlens.llm.decontam import roll, words
 from spendlens.llm.words import Memory
 
 #: Nodes of a bucket of which all pairs are verified, and rounds of pivots before the rest is paired by distance alone.
 SMALL, ROUNDS = 48, 8
-#: Most keys that are broadcast to pick documents; more are joined by a shuffle.
-MOST_BROADCAST = 1 << 21
 MOST_HASHES = 128
 NO_KEY = -(1 << 63)
 
@@ -107,11 +105,6 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, bands: int, row
     return with_columns(keyed, ["text"], added, step, carry=["key"])
 
 
-def bounded_broadcast(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its rows are few."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
-
-
 def gram_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """node and its n-gram hashes, from one document of each wanted node (node, key)."""
 
