@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import bpe, counts, decontam, jaccard, lines, planes, subword, toxicity
+from spendlens.llm import bpe, counts, decontam, jaccard, lines, planes, rules, subword, toxicity, urls
 from spendlens.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,16 @@ def op1_line_dedup(spark, sf_dir):
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+URL_RULES = [
+    ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"),
+]
+
+
+@query
+def op2_url_filters(spark, sf_dir):
+    return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
 @query
 def op3_bit_planes(spark, sf_dir):
     folder = shared_path(spark, "ids")
@@ -82,3 +92,9 @@ def op9_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op10_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return rules.judge(docs, table(spark, sf_dir, "labels")).drop("n_lines")
