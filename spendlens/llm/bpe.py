@@ -257,3 +257,21 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
             yield [counts, written, read], batch
 
     return with_columns(docs, [text], added, step, carry=[key])
+
+
+def encode_checked(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ids, n_tokens, and round_trip: whether decoding the ids gives the text, a null one counting as empty."""
+    require(docs, key, text)
+    added = [
+        T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()),
+        T.StructField("round_trip", T.BooleanType()),
+    ]
+
+    def step(rows):
+        bpe = from_file(path, pattern)
+        for (texts,), batch in rows:
+            found = [np.frombuffer(i, "<u4").astype(np.int32) for i in bpe.encode_texts([(t or b"").decode() for t in texts])]
+            same = [bpe.decode(ids.tolist()) == (t or b"") for ids, t in zip(found, texts)]
+            yield [found, list(map(len, found)), same], batch
+
+    return with_columns(docs, [text], added, step, carry=[key])
