@@ -23,7 +23,9 @@ def check_metric_pair(metrics: Sequence[str]) -> list[str]:
 
 
 def check_weights(*weights: int) -> None:
-    """Weights are whole percents that total 100."""
+    """Weights are whole percents, none negative, that total 100."""
+    if any(w != int(w) or w < 0 for w in weights):
+        raise ValueError(f"weights must be whole percents of 0 or more, not {weights}")
     if sum(weights) != 100:
         raise ValueError(f"weights must total 100, not {sum(weights)}")
 

@@ -27,12 +27,31 @@ def parse_date_lenient(c: Column | str) -> Column:
     return _col(c).try_cast("date")
 
 
+LAST_SERIAL = 2_958_465  # spreadsheet day number of 9999-12-31
+
+
 def parse_report_date(c: Column | str) -> Column:
-    """Day of a report cell: date text, or a spreadsheet day number counted
-    from 1899-12-30.  Anything else fails the job."""
-    text = _col(c).cast("string")
-    serial = F.date_add(F.lit("1899-12-30").cast("date"), text.try_cast("double").cast("int"))
-    return F.when(text.rlike(r"^[0-9]+(\.[0-9]+)?$"), serial).otherwise(text.cast("date"))
+    """Day of a report cell: date text, eight digits ``yyyyMMdd``, or a
+    spreadsheet day number counted from 1899-12-30.  Anything else, and a day
+    number after the year 9999, fails the job."""
+    return parse_report_time(c).cast("date")
+
+
+def parse_report_time(c: Column | str) -> Column:
+    """Moment of a report cell, read like ``parse_report_date``; the fraction
+    of a day number is its time of day."""
+    text = F.trim(_col(c).cast("string"))
+    number = text.try_cast("double")
+    day = F.floor(number).cast("int")
+    seconds = F.round((number - F.floor(number)) * 86_400).cast("int")
+    serial = F.date_add(F.lit("1899-12-30").cast("date"), day).cast("timestamp") + F.make_dt_interval(secs=seconds)
+    wrong = F.raise_error(F.concat(F.lit("no date: "), text)).cast("timestamp")
+    digits = F.when(text.rlike(r"^[0-9]{8}$"), F.to_timestamp(text, "yyyyMMdd")).when(
+        (number >= 1) & (number < LAST_SERIAL + 1), serial
+    ).otherwise(wrong)
+    return F.when(text.rlike(r"^[0-9]+(\.[0-9]+)?$"), digits).otherwise(
+        F.coalesce(text.try_cast("timestamp"), F.substring_index(text, " ", 1).cast("timestamp"))
+    )
 
 
 def pair_key(a: Column | str, b: Column | str) -> Column:

@@ -13,14 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.checks import check_choice
-from spendlens.functions.values import is_member, label_flag, percent_of, sum_or_zero
+from spendlens.functions.values import label_flag, percent_of, sum_or_zero
 from spendlens.operators.filters import drop_missing, for_key
 from spendlens.operators.skew import heavy_keys, salted_left_join
 
 DAY = ["campaign_id", "date"]
-PART_SIZE = 10_000  # SKUs a promoted set may hold and still be one array
-PARTS = 1024  # arrays a larger set is divided into
-SET_SALTS = 64  # shares of a frequent campaign-day when whole arrays are repeated
 
 
 def promoted_days(campaign: DataFrame) -> DataFrame:
@@ -33,54 +30,42 @@ def promoted_skus(campaign: DataFrame) -> DataFrame:
     return drop_missing(campaign, [*DAY, "promoted_sku"]).select(*DAY, "promoted_sku").distinct()
 
 
-def _part_of(sku: str) -> Column:
-    """Array of a divided set that an SKU belongs in."""
-    return F.when(F.col("parts") > 1, F.pmod(F.xxhash64(sku), F.lit(PARTS))).otherwise(0).cast("long")
-
+def day_sizes(campaign: DataFrame) -> DataFrame:
+    """(campaign, date, n_skus): distinct promoted SKUs of each campaign-day, 0 where all rows lack one."""
+    skus = drop_missing(campaign, DAY).select(*DAY, "promoted_sku").distinct()
+    return skus.groupBy(*DAY).agg(F.count("promoted_sku").alias("n_skus"))
 
-def _set_sizes(campaign: DataFrame, part_size: int) -> DataFrame:
-    """(campaign, date, n_skus, parts): arrays each promoted set is kept in."""
-    sizes = (
-        drop_missing(campaign, DAY)
-        .select(*DAY, "promoted_sku")
-        .distinct()
-        .groupBy(*DAY)
-        .agg(F.count("promoted_sku").alias("n_skus"))
-    )
-    return sizes.withColumn("parts", F.when(F.col("n_skus") > part_size, PARTS).otherwise(1))
 
+def promoted_sets(campaign: DataFrame) -> DataFrame:
+    """(campaign, date, promoted_sku, n_skus): the promoted SKUs of every
+    campaign-day, one row each, with their number.  A day whose rows all lack
+    an SKU has one row, without SKU and with 0."""
+    sizes = day_sizes(campaign)
+    skus = promoted_skus(campaign).join(sizes.filter("n_skus > 0"), DAY)
+    empty = sizes.filter("n_skus = 0").select(*DAY, F.lit(None).cast("string").alias("promoted_sku"), "n_skus")
+    return skus.unionByName(empty)
 
-def promoted_sets(campaign: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
-    """(campaign, date, part, n_skus, promoted_skus): the promoted SKUs of a
-    campaign-day as a sorted array; empty when only rows without SKU exist.
 
-    A set of more than ``part_size`` SKUs is kept in up to ``PARTS`` arrays by
-    hash of the SKU, so no array holds the whole of a very large set.
-    """
-    sizes = _set_sizes(campaign, part_size)
-    skus = drop_missing(campaign, DAY).select(*DAY, "promoted_sku").distinct()
-    [heavy] = heavy_keys(campaign, DAY)
-    placed = salted_left_join(skus, sizes, DAY, heavy).withColumn("part", _part_of("promoted_sku"))
-    members = F.array_sort(F.collect_list("promoted_sku")).alias("promoted_skus")  # skips a missing SKU
-    return placed.groupBy(*DAY, "part", "n_skus").agg(members)
+def promoted_lists(campaign: DataFrame, chosen: str) -> DataFrame:
+    """(date, n_skus, promoted_skus) of one campaign, the SKUs as a sorted array, for display."""
+    sets = promoted_sets(for_key(campaign, "campaign_id", chosen))
+    return sets.groupBy("date", "n_skus").agg(F.array_sort(F.collect_list("promoted_sku")).alias("promoted_skus"))
 
 
-def attach_promoted(sales: DataFrame, campaign: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
-    """Every sales row with the promoted set of its campaign-day, missing where
-    there is no such day; of a divided set, the array its SKU belongs in."""
-    divided = _set_sizes(campaign, part_size).filter(F.col("parts") > 1).select(*DAY, "parts")
-    [heavy] = heavy_keys(sales, DAY)
-    known = salted_left_join(sales, divided, DAY, heavy)
-    placed = known.withColumn("part", _part_of("purchased_sku")).drop("parts")
-    sets = promoted_sets(campaign, part_size)
-    return salted_left_join(placed, sets, [*DAY, "part"], heavy, DAY, SET_SALTS).drop("part")
+def attach_promoted(sales: DataFrame, campaign: DataFrame) -> DataFrame:
+    """Every sales row with ``n_skus``, the size of its campaign-day's promoted
+    set (missing where there is no such day), and ``is_promoted``, whether the
+    set has its SKU.  The sets themselves stay one row per SKU."""
+    keys = [*DAY, "purchased_sku"]
+    heavy_skus, heavy_days = heavy_keys(sales, keys, DAY)
+    joined = salted_left_join(sales, _hits(campaign), keys, heavy_skus)
+    joined = salted_left_join(joined, day_sizes(campaign), DAY, heavy_days)
+    return joined.withColumn("is_promoted", F.col("_hit").isNotNull()).drop("_hit")
 
 
-def set_membership(sales: DataFrame, campaign: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
-    """Sales rows flagged through the attached sets."""
-    attached = attach_promoted(sales, campaign, part_size)
-    flag = is_member("purchased_sku", "promoted_skus")
-    return attached.withColumn("is_promoted", flag).drop("promoted_skus", "n_skus")
+def set_membership(sales: DataFrame, campaign: DataFrame) -> DataFrame:
+    """Sales rows with ``is_promoted``."""
+    return attach_promoted(sales, campaign).drop("n_skus")
 
 
 def flag_promoted(sales: DataFrame, campaign: DataFrame, on_unmatched: str = "flag") -> DataFrame:
@@ -89,17 +74,16 @@ def flag_promoted(sales: DataFrame, campaign: DataFrame, on_unmatched: str = "fl
     ``unmatched`` marks rows whose campaign has no report row on that day; they
     count as not promoted.  ``on_unmatched="error"`` fails the job on them.
     """
+    attached = attach_promoted(sales, campaign)
+    status = F.when(F.col("is_promoted"), "promoted").when(F.col("n_skus").isNotNull(), "not_promoted")
+    return attached.withColumn("match_status", status.otherwise(_unmatched(on_unmatched))).drop("n_skus")
+
+
+def _unmatched(on_unmatched: str) -> Column:
     check_choice(on_unmatched, ("flag", "error"), "on_unmatched")
-    keys = [*DAY, "purchased_sku"]
-    heavy_skus, heavy_days = heavy_keys(sales, keys, DAY)
-    joined = salted_left_join(sales, _hits(campaign), keys, heavy_skus)
-    joined = salted_left_join(joined, promoted_days(campaign).withColumn("_day", F.lit(True)), DAY, heavy_days)
-    promoted = F.col("_hit").isNotNull()
-    unmatched = F.lit("unmatched")
     if on_unmatched == "error":
-        unmatched = F.raise_error(F.lit("sales row without a campaign report of its day")).cast("string")
-    status = F.when(promoted, "promoted").when(F.col("_day").isNotNull(), "not_promoted").otherwise(unmatched)
-    return joined.withColumns({"is_promoted": promoted, "match_status": status}).drop("_hit", "_day")
+        return F.raise_error(F.lit("sales row without a campaign report of its day")).cast("string")
+    return F.lit("unmatched")
 
 
 def _hits(campaign: DataFrame) -> DataFrame:
@@ -107,18 +91,23 @@ def _hits(campaign: DataFrame) -> DataFrame:
     return named.withColumn("_hit", F.lit(True))
 
 
-def _flagged_sums(sales: DataFrame, campaign: DataFrame, key: str) -> DataFrame:
+def _flagged_sums(sales: DataFrame, campaign: DataFrame, key: str, on_unmatched: str = "flag") -> DataFrame:
     """Sales by key and promoted flag, joined after adding up."""
+    unmatched = _unmatched(on_unmatched)
     by_sku = drop_missing(sales, [key]).groupBy(*DAY, "purchased_sku").agg(F.sum("total_sales").alias("total_sales"))
     flagged = by_sku.join(_hits(campaign), [*DAY, "purchased_sku"], "left")
-    flagged = flagged.withColumn("is_promoted", F.col("_hit").isNotNull())
+    promoted = F.col("_hit").isNotNull()
+    if on_unmatched == "error":
+        flagged = flagged.join(promoted_days(campaign).withColumn("_day", F.lit(True)), DAY, "left")
+        promoted = F.when(F.col("_day").isNull(), unmatched.cast("boolean")).otherwise(promoted)
+    flagged = flagged.withColumn("is_promoted", promoted)
     sums = flagged.groupBy(key, "is_promoted").agg(sum_or_zero("total_sales").alias("total_sales"))
     return sums.withColumn("category", label_flag("is_promoted"))
 
 
-def promoted_sales(sales: DataFrame, campaign: DataFrame) -> DataFrame:
-    """Sales by (campaign, promoted flag)."""
-    return _flagged_sums(sales, campaign, "campaign_id")
+def promoted_sales(sales: DataFrame, campaign: DataFrame, on_unmatched: str = "flag") -> DataFrame:
+    """Sales by (campaign, promoted flag); ``on_unmatched`` as in ``flag_promoted``."""
+    return _flagged_sums(sales, campaign, "campaign_id", on_unmatched)
 
 
 def promoted_daily(sales: DataFrame, campaign: DataFrame, chosen: str) -> DataFrame:

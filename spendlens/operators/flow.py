@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.checks import check_choice
-from spendlens.functions.ids import canonical_id, pair_key
+from spendlens.functions.ids import pair_key
 from spendlens.functions.values import zero_to_epsilon
 from spendlens.operators.filters import distinct_values, drop_missing, for_key, keep_members
 from spendlens.operators.metrics import grouped_metrics
 from spendlens.operators.ranking import first_seen_index
-from spendlens.operators.skew import heavy_keys, key_hashes, salted_left_join
-from spendlens.schema import PALETTE_SIZE
+from spendlens.operators.skew import heavy_keys, known_keys, salted_left_join
+from spendlens.schema import BROADCAST_ROWS, PALETTE_SIZE
 
 SIDES = ("campaign_id", "promoted_sku")
 
@@ -29,8 +29,9 @@ def other_side(primary: str) -> str:
 
 
 def flow_rows(df: DataFrame) -> DataFrame:
-    """Report rows with both ids, in canonical form."""
-    return drop_missing(df, SIDES).withColumns({side: canonical_id(side) for side in SIDES})
+    """Report rows with both ids.  Loaded reports have them in canonical form,
+    so a filter on an id reaches the scan."""
+    return drop_missing(df, SIDES)
 
 
 def flow_forward(rows: DataFrame, primary: str, chosen: str, metric: str) -> DataFrame:
@@ -41,12 +42,17 @@ def flow_forward(rows: DataFrame, primary: str, chosen: str, metric: str) -> Dat
 def flow_reverse(rows: DataFrame, forward: DataFrame, primary: str, metric: str) -> DataFrame:
     """(secondary, primary, metric) for the secondaries of the forward leg.
 
-    Links are grouped first: a secondary then has one row per primary, however
-    many report rows it has, when it meets the list of secondaries.
+    A short list of secondaries is broadcast and picks the report rows before
+    they are grouped, so one chosen value does not shuffle the whole report.
+    With a long one, links are grouped first: a secondary then has one row per
+    primary, however many report rows it has, when it meets the list.
     """
     secondary = other_side(primary)
-    links = grouped_metrics(rows, [secondary, primary], [metric])
-    return keep_members(links, forward.select(secondary), secondary)
+    own = forward.select(secondary)
+    n = own.limit(BROADCAST_ROWS + 1).count()
+    if n <= BROADCAST_ROWS:
+        return grouped_metrics(keep_members(rows, own, secondary, rows=n), [secondary, primary], [metric])
+    return keep_members(grouped_metrics(rows, [secondary, primary], [metric]), own, secondary)
 
 
 def mirrored(reverse: DataFrame, primary: str, chosen: str) -> DataFrame:
@@ -126,4 +132,4 @@ def with_product(links: DataFrame, rows: DataFrame, chosen: str | None = None) -
     names = distinct_values(rows, ["promoted_sku", "promoted_product"])
     if chosen is None:
         return links.join(names, "promoted_sku", "left")
-    return salted_left_join(links, names, ["promoted_sku"], key_hashes([chosen]))
+    return salted_left_join(links, names, ["promoted_sku"], known_keys(links, [chosen]))

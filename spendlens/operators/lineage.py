@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
@@ -11,16 +9,12 @@ def cut(df: DataFrame) -> DataFrame:
     """The table, computed now and kept in the checkpoint folder, so later
     readers start from files that outlive any executor.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only a session in
-    local mode that names none gets a temporary one.
+    The folder is the session's ``spark.checkpoint.dir``, or one in the
+    warehouse where a session names none, as in tests.
     """
     session = df.sparkSession
     context = session.sparkContext
     if context.getCheckpointDir() is None:
-        folder = session.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="spendlens-")
-        context.setCheckpointDir(folder)
+        shared = session.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+        context.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or shared)
     return df.checkpoint()

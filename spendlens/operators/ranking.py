@@ -47,12 +47,19 @@ def rank_slice(totals: DataFrame, key: str, low: int, high: int, value: str = "v
     return placed.filter(F.col("position").between(low, high))
 
 
-def page_of(totals: DataFrame, key: str, page: int, size: int = PAGE_SIZE, value: str = "value") -> DataFrame:
-    """One page of the sorted totals, with the number of pages."""
+def page_of(totals: DataFrame, key: str, page: int, size: int = PAGE_SIZE, value: str = "value", low: int = 1,
+            high: int | None = None) -> DataFrame:
+    """One page of the sorted totals, with the number of pages.  ``low`` and
+    ``high`` bound the ranks that are paged, to the end of the list by default."""
+    check_slice(low, low if high is None else high)
     # naming the value keeps both readers of the totals on one shuffle
     facts = totals.agg(F.struct(F.count(F.lit(1)).alias("rows"), F.max(value).alias("largest"))).scalar()
-    pages = F.ceil(facts["rows"] / F.lit(size)).cast("long")
-    return rank_slice(totals, key, (page - 1) * size + 1, page * size, value).withColumn("page_count", pages)
+    last = facts["rows"] if high is None else F.least(facts["rows"], F.lit(high))
+    pages = F.ceil(F.greatest(last - low + 1, F.lit(0)) / F.lit(size)).cast("long")
+    first = low + (page - 1) * size
+    end = first + size - 1 if high is None else min(first + size - 1, high)
+    shown = rank_slice(totals, key, first, max(first, end), value).withColumn("page_count", pages)
+    return shown if end >= first else shown.filter(F.lit(False))
 
 
 def sorted_ids(df: DataFrame, key: str) -> DataFrame:

@@ -37,11 +37,13 @@ class CampaignSales:
         return A.flag_promoted(self.sales, self.campaign, self.on_unmatched)
 
 
-def promoted_contribution(sales: DataFrame, campaign: DataFrame, start: Day = None, end: Day = None) -> Contribution:
+def promoted_contribution(sales: DataFrame, campaign: DataFrame, start: Day = None, end: Day = None,
+                          on_unmatched: str = "flag") -> Contribution:
     """Contribution of promoted sales by campaign, the same as a hierarchy,
-    and the campaigns to choose from.  The date window applies to sales only."""
+    and the campaigns to choose from.  The date window applies to sales only;
+    ``on_unmatched="error"`` refuses sales without a report of their day."""
     rows = between_dates(sales, start, end)
-    by_flag = A.promoted_sales(rows, campaign)
+    by_flag = A.promoted_sales(rows, campaign, on_unmatched)
     return Contribution(A.sales_contribution(by_flag), A.sales_hierarchy(by_flag), sorted_ids(rows, "campaign_id"))
 
 

@@ -27,6 +27,11 @@ class Flow:
 
     @cached_property
     def forward(self) -> DataFrame:
+        """The forward leg, kept, as the reverse leg asks for its size first."""
+        return cut(self._forward)
+
+    @cached_property
+    def _forward(self) -> DataFrame:
         return L.flow_forward(self.rows, self.primary, self.chosen, self.metric)
 
     @cached_property

@@ -23,13 +23,14 @@ class Trend(NamedTuple):
 
 
 def trend(df: DataFrame, metric: str, low_rank: int = 1, high_rank: int = TOP_DEFAULT,
-          start: Day = None, end: Day = None) -> Trend:
+          start: Day = None, end: Day = None, mode: str = "both_or_full") -> Trend:
     """(date, campaign, placement, value, rank) of the campaigns at the ranks
     low..high, and the totals they are ranked by.  Ranking goes by the metric's
-    class; the series always adds up."""
+    class; the series always adds up.  By default a window counts only if both
+    bounds are given; with ``mode="complete"`` one alone does too."""
     check_metric(metric)
     check_slice(low_rank, high_rank)
-    rows = between_dates(df, start, end, "both_or_full")
+    rows = between_dates(df, start, end, mode)
     totals = metric_totals(rows, "campaign_id", metric)
     chosen = rank_slice(totals, "campaign_id", low_rank, high_rank).select(
         "campaign_id", F.col("position").alias("rank")
@@ -49,11 +50,11 @@ class Comparison(NamedTuple):
 
 
 def compare(df: DataFrame, campaign: str, metrics: Sequence[str] = ("total_sales", "spend"),
-            start: Day = None, end: Day = None) -> Comparison:
+            start: Day = None, end: Day = None, mode: str = "both_or_full") -> Comparison:
     """Daily sums of two metrics for one campaign, and its total, rank and
-    texts per metric."""
+    texts per metric.  ``mode`` as in ``trend``."""
     metrics = check_metric_pair(metrics)
-    rows = between_dates(df, start, end, "both_or_full")
+    rows = between_dates(df, start, end, mode)
     cards = key_card(rows, "campaign_id", campaign, metrics).withColumns({
         "unit": unit_of("metric"),
         "value_text": metric_text("value", unit_of("metric")),

@@ -22,11 +22,10 @@ from spendlens.operators.skew import heavy_keys, salted_left_join
 from spendlens.schema import BROADCAST_ROWS, CAMPAIGN_LABELS, METRICS, SALES_LABELS
 
 LEAD_ROWS = 3
-SHEET_BYTES = 512 * 1024 * 1024  # largest spreadsheet file that is opened
 BATCH_ROWS = 20_000
 
 NO_HEADINGS = "no heading row"
-TOO_LARGE = "file too large for a spreadsheet"
+BROKEN = "lines with an open quote or another number of cells than headings: "
 
 
 class Report(NamedTuple):
@@ -113,10 +112,17 @@ def _read_csv(spark: SparkSession, paths: list[str], lead_rows: int, labels: lis
 
     # place 0 means the report lacks the heading
     places = [F.array_position("headings", label).alias(f"place{i}") for i, label in enumerate(labels)]
-    accepted = checked.filter(F.col("error").isNull()).select("path", "start", *places)
+    accepted = checked.filter(F.col("error").isNull()).select("path", "start", F.size("headings").alias("width"), *places)
     lead = (F.col("block") == 0) & (F.col("id") - F.col("start") <= lead_rows)
     data = by_file(lines, accepted).filter(~lead & (F.trim("line") != ""))
     record = data.withColumn("record", _cells("line"))
+    # a record that is cut by a line break, or lacks cells, rejects its file: its lines are checked before any is passed on
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    is_broken = (F.size("record") != F.col("width")) | (quotes % 2 == 1)
+    broken = record.filter(is_broken).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    rejected = rejected.unionByName(broken.select("path", F.concat(F.lit(BROKEN), F.col("n").cast("string")).alias("error")))
+    names = broken.select("path")
+    record = record.join(F.broadcast(names) if n_files <= BROADCAST_ROWS else names, "path", "left_anti")
     fields = [F.get("record", (F.col(f"place{i}") - 1).cast("int")) for i in range(len(labels))]
     return record.select("path", F.array(*fields).alias("fields")), rejected
 
@@ -163,8 +169,6 @@ def _read_xlsx(spark: SparkSession, paths: list[str], lead_rows: int, labels: li
                     yield pd.DataFrame({"path": path, "fields": rows, "error": None})
 
     files = spark.read.format("binaryFile").load(paths)
-    opened = files.filter(F.col("length") <= SHEET_BYTES).select("path", "content")
-    decoded = opened.mapInPandas(decode, "path string, fields array<string>, error string")
-    large = files.filter(F.col("length") > SHEET_BYTES).select("path", F.lit(TOO_LARGE).alias("error"))
-    rejected = decoded.filter(F.col("error").isNotNull()).select("path", "error").unionByName(large)
+    decoded = files.select("path", "content").mapInPandas(decode, "path string, fields array<string>, error string")
+    rejected = decoded.filter(F.col("error").isNotNull()).select("path", "error")
     return decoded.filter(F.col("error").isNull()).select("path", "fields"), rejected

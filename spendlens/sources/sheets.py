@@ -40,7 +40,11 @@ def sheet_rows(content: bytes) -> Iterator[tuple[int, dict[int, str]]]:
         shared = [_text(item) for item in table.iter(f"{MAIN}si")]
     row_number = 0
     with book.open(_first_sheet(book)) as sheet:
-        for _, row in ElementTree.iterparse(sheet):
+        rows = None
+        for event, row in ElementTree.iterparse(sheet, ("start", "end")):
+            if event == "start":
+                rows = row if row.tag == f"{MAIN}sheetData" else rows
+                continue
             if row.tag != f"{MAIN}row":
                 continue
             row_number = int(row.get("r") or row_number + 1)
@@ -53,6 +57,6 @@ def sheet_rows(content: bytes) -> Iterator[tuple[int, dict[int, str]]]:
                 if value is None or kind == "e":
                     continue
                 cells[column] = shared[int(value)] if kind == "s" else value
-            row.clear()
+            rows.clear()  # the rows read so far, which would stay under their parent
             if cells:
                 yield row_number, cells

@@ -15,7 +15,9 @@ def register(df: DataFrame, name: str, durable: bool = False) -> DataFrame:
     """Make a table known under a name, replacing the previous one.  A durable
     table is written once as Parquet and read from there by later queries."""
     if durable:
-        df.write.mode("overwrite").format("parquet").saveAsTable(name)
+        # a path of its own: without a shared catalog, files of an earlier session may lie there
+        folder = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        df.write.mode("overwrite").format("parquet").option("path", f"{folder}/{name}").saveAsTable(name)
         return df.sparkSession.table(name)
     df.createOrReplaceTempView(name)
     return df

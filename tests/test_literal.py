@@ -10,6 +10,7 @@ from spendlens.functions import checks, ids, values
 from spendlens.operators import attribution, filters, flow as L, metrics, ranking, scaling
 from spendlens.plans import contribution, distribution, flows, placement, preview, score, trend
 from spendlens.schema import CAMPAIGN_SCHEMA, METRICS, OTHERS_LABEL
+from spendlens.sources.normalize import normalize_campaign
 
 D1, D2, D3 = (dt.date(2024, 1, d) for d in (1, 2, 3))
 
@@ -226,9 +227,10 @@ def test_campaign_sales_window(t1, t2):
 
 
 def test_promoted_sets(t1, t2):
-    sets = rows(attribution.promoted_sets(t1).withColumn("s", F.array_join("promoted_skus", ",")),
-                "campaign_id", "date", "n_skus", "s")
-    assert ("A", D1, 2, "1,2") in sets and ("B", D2, 0, "") in sets and len(sets) == 6
+    sets = rows(attribution.promoted_sets(t1), "campaign_id", "date", "promoted_sku", "n_skus")
+    assert {("A", D1, "1", 2), ("A", D1, "2", 2), ("B", D2, None, 0)} <= set(sets) and len(sets) == 7
+    lists = attribution.promoted_lists(t1, "A").withColumn("s", F.array_join("promoted_skus", ","))
+    assert rows(lists, "date", "n_skus", "s") == [(D1, 2, "1,2"), (D2, 1, "1")]
     members = attribution.set_membership(t2, t1)
     assert rows(members, "campaign_id", "total_sales", "is_promoted") == [
         ("A", 10.0, True), ("A", 30.0, False), ("B", 15.0, True), ("B", 5.0, False), ("C", 7.0, False)
@@ -277,7 +279,7 @@ def test_equal_text_is_one_node_unless_namespaced(spark):
 
 def test_flow_ids_lose_their_decimal_part(spark):
     lines = [campaign_row("2024-01-01", "7.0", "PLA", s, "p", 5, 1, 1, 1, 1, 1, 1, 1) for s in ("12.0", "12")]
-    df = spark.createDataFrame(lines, CAMPAIGN_SCHEMA)
+    df = normalize_campaign(spark.createDataFrame(lines, CAMPAIGN_SCHEMA))
     assert rows(L.flow_forward(L.flow_rows(df), "campaign_id", "7", "total_sales")) == [("7", "12", 10.0)]
 
 
@@ -335,15 +337,11 @@ def test_rows_without_date_never_qualify(spark):
 
 
 def test_null_label_keeps_a_group(spark, t1):
-    from spendlens.sources.normalize import normalize_campaign
-
     labelled = normalize_campaign(t1, null_label="nan")
     assert ("nan", 999.0) in rows(metrics.metric_totals(labelled, "campaign_id", "total_sales"))
 
 
 def test_nan_counts_as_missing(spark, t1):
-    from spendlens.sources.normalize import normalize_campaign
-
     dirty = t1.withColumn("roas", F.when(F.col("campaign_id") == "A", float("nan")).otherwise(F.col("roas")))
     totals = metrics.metric_totals(normalize_campaign(dirty), "campaign_id", "roas")
     assert rows(totals) == [("A", None), ("B", 5.0), ("C", 5.0)]
@@ -377,3 +375,32 @@ def test_column_totals(t1):
     assert round(totals["ctr"], 6) == round(6.5 / 6 + 1 / 2, 6)
     assert rows(scaling.column_share(metrics.long_metrics(grouped, ["placement_type"], ["clicks"]), ["placement_type"]),
                 "placement_type", "value") == [("Banner", 5.0), ("PLA", 47.0)]
+
+
+def test_page_of_a_rank_range(spark):
+    totals = spark.createDataFrame([(f"k{i:02}", float(-i)) for i in range(1, 24)], "k string, value double")
+    page = ranking.page_of(totals, "k", 2, 5, low=4, high=11)
+    assert sorted(tuple(r) for r in page.select("position", "page_count").collect()) == [(9, 2), (10, 2), (11, 2)]
+    assert ranking.page_of(totals, "k", 3, 5, low=4, high=11).count() == 0
+    assert ranking.page_of(totals, "k", 5, 5).select("page_count").distinct().collect() == [(5,)]
+
+
+def test_one_bound_of_a_window(t1):
+    assert trend.trend(t1, "total_sales", start=D2).series.count() == trend.trend(t1, "total_sales").series.count()
+    late = trend.trend(t1, "total_sales", start=D2, mode="complete").series
+    assert min(r["date"] for r in late.collect()) == D2
+    with pytest.raises(ValueError):
+        trend.trend(t1, "total_sales", mode="some")
+
+
+@pytest.mark.parametrize("weights", [(150, -50, 0), (33.5, 33.5, 33), (50, 50, 1)])
+def test_weights_are_whole_percents(weights):
+    with pytest.raises(ValueError):
+        checks.check_weights(*weights)
+
+
+def test_unmatched_sales_can_fail_the_summary(t1, t2):
+    assert attribution.promoted_sales(t2, t1).count() > 0
+    with pytest.raises(Exception, match="without a campaign report"):
+        attribution.promoted_sales(t2, t1, "error").collect()
+    assert attribution.promoted_sales(t2.filter("campaign_id <> 'C'"), t1, "error").count() == 4

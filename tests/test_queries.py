@@ -5,6 +5,8 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF_SMALL
 from workload.compare import connect, difference
+from workload.oracle import ORACLE
+from workload.queries import QUERIES
 from workload.fixtures import campaign_summary, monthly_promotions, sales_report
 
 COUNTS = {  # rows, campaigns, SKUs, rows without SKU, rows without return
@@ -12,8 +14,8 @@ COUNTS = {  # rows, campaigns, SKUs, rows without SKU, rows without return
     "0.01": (60_000, 100, 1_960, 1_217, 3_799),
 }
 MATCHES = {  # promotion rows, promoted, not promoted, unmatched sales rows
-    "0.001": (1_707, 1_724, 3_778, 498),
-    "0.01": (17_173, 16_871, 37_888, 5_241),
+    "0.001": (6_000, 3_691, 2_264, 45),
+    "0.01": (60_000, 35_537, 24_027, 436),
 }
 
 
@@ -23,14 +25,14 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE) and set(QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     assert difference(spark, duck, entry.queries()[name], entry.oracle_sql()[name], SF_SMALL) is None
 
@@ -55,3 +57,23 @@ def test_match_counts(spark, sf):
     by_status = dict(flagged.groupBy("match_status").count().collect())
     found = (promotions.count(), by_status["promoted"], by_status["not_promoted"], by_status["unmatched"])
     assert found == MATCHES[sf]
+
+
+@pytest.mark.parametrize("name", ["round_metrics", "campaign_overview"])
+def test_rows_prove_the_rounding(spark, duck, monkeypatch, name):
+    from spendlens.functions import values
+    from spendlens.operators import metrics
+
+    overview = metrics.campaign_overview
+    monkeypatch.setattr(values, "round_metrics", lambda df, digits: df)
+    monkeypatch.setattr(metrics, "campaign_overview", lambda df, digits: overview(df, None))
+    assert difference(spark, duck, QUERIES[name], ORACLE[name], SF_SMALL) is not None
+
+
+def test_one_campaign_is_picked_at_the_scan(spark, tmp_path):
+    from spendlens.operators import flow
+
+    campaign_summary(spark, SF_SMALL).write.parquet(str(tmp_path / "report"))
+    rows = flow.flow_rows(spark.read.parquet(str(tmp_path / "report")))
+    plan = flow.flow_forward(rows, "campaign_id", "7", "clicks")._jdf.queryExecution().toString()
+    assert "EqualTo(campaign_id,7)" in plan

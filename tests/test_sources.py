@@ -7,9 +7,12 @@ from xml.sax.saxutils import escape
 import pytest
 
 from conftest import T1, T2, rows
+from pyspark.sql import functions as F
+
+from spendlens.operators.attribution import flag_promoted
 from spendlens.operators.filters import has_rows
 from spendlens.plans.load import load_reports
-from spendlens.schema import CAMPAIGN_LABELS, CAMPAIGN_SCHEMA, SALES_LABELS
+from spendlens.schema import CAMPAIGN_LABELS, CAMPAIGN_SCHEMA, SALES_LABELS, SALES_SCHEMA
 from spendlens.sources import reports
 from spendlens.sources.normalize import normalize_campaign, normalize_sales
 from spendlens.sources.tables import register, table, with_headings, write_result
@@ -148,11 +151,38 @@ def test_damage_late_in_a_file_rejects_all_of_it(spark, tmp_path):
     assert report.table.count() == 0 and report.rejected.count() == 1
 
 
-def test_too_large_spreadsheet_is_rejected(spark, tmp_path, monkeypatch):
-    path = xlsx_file(tmp_path / "a.xlsx", CAMPAIGN_CELLS)
-    monkeypatch.setattr(reports, "SHEET_BYTES", 10)
-    report = reports.read_report(spark, path, "campaign")
-    assert report.table.count() == 0 and report.rejected.first()["error"] == reports.TOO_LARGE
+def test_broken_lines_reject_their_file(spark, tmp_path):
+    csv_file(tmp_path / "good.csv", SALES_CELLS)
+    csv_file(tmp_path / "short.csv", [*SALES_CELLS, ["2024-01-01", "A"]])
+    csv_file(tmp_path / "cut.csv", SALES_CELLS)
+    with open(tmp_path / "cut.csv", "a", newline="") as file:
+        file.write('2024-01-01,A,"1\n2",5\n')  # a line break inside quotes
+    report = reports.read_report(spark, str(tmp_path), "sales", "csv")
+    errors = {r["path"].rsplit("/", 1)[1]: r["error"] for r in report.rejected.collect()}
+    assert errors == {"short.csv": reports.BROKEN + "1", "cut.csv": reports.BROKEN + "2"}
+    assert report.table.count() == len(T2)
+
+
+def test_dates_of_cells(spark):
+    cells = ["45292.75", "45292", "20240101", "2024-01-01", " 2024-01-01 18:00:00", "2958465", None]
+    df = spark.createDataFrame([(c,) for c in cells], "order_date string").selectExpr(
+        "*", "'7.0' AS campaign_id", "'123.0' AS purchased_sku", "CAST('1.5' AS STRING) AS total_sales")
+    typed = normalize_sales(df, null_label="none").collect()
+    first = dt.datetime(2024, 1, 1)
+    evening = dt.datetime(2024, 1, 1, 18)
+    assert [r["order_date"] for r in typed] == [evening, first, first, first, evening, dt.datetime(9999, 12, 31), None]
+    assert [r["date"] for r in typed][:5] == [first.date()] * 5
+    assert {(r["campaign_id"], r["purchased_sku"]) for r in typed} == {("7", "123")}
+    for wrong in ("2958466", "0", "99999999", "20241301", "soon"):
+        with pytest.raises(Exception):
+            normalize_sales(df.withColumn("order_date", F.lit(wrong))).collect()
+
+
+def test_ids_from_numbers_match(spark, tmp_path):
+    promoted = [CAMPAIGN_CELLS[0]] + [[*r[:3], f"{r[3]}.0" if r[3] else None, *r[4:]] for r in CAMPAIGN_CELLS[1:]]
+    campaign = normalize_campaign(reports.read_report(spark, xlsx_file(tmp_path / "c.xlsx", promoted), "campaign").table)
+    sales = normalize_sales(reports.read_report(spark, xlsx_file(tmp_path / "s.xlsx", SALES_CELLS), "sales").table)
+    assert flag_promoted(sales, campaign).filter("is_promoted").count() == 2
 
 
 def test_unreadable_date_fails(spark, tmp_path):
@@ -170,10 +200,23 @@ def test_load_reports(spark, tmp_path):
     days = rows(table(spark, "sales_report"), "date", "order_date")
     assert days[0] == (dt.date(2024, 1, 1), dt.datetime(2024, 1, 1))
     # a second load replaces the first
-    register(table(spark, "sales_report").limit(2), "sales_report")
+    half = spark.createDataFrame(table(spark, "sales_report").limit(2).collect(), SALES_SCHEMA)
+    register(half, "sales_report", durable=True)
     assert table(spark, "sales_report").count() == 2
+    # one report alone; the other stays, and rows without a campaign get a name
+    alone = load_reports(spark, campaign_paths=campaign, null_label="none")
+    assert alone.sales.count() == 2 and alone.campaign.filter("campaign_id = 'none'").count() == 1
+    assert "parquet" in alone.campaign._jdf.queryExecution().toString().lower()
+    with pytest.raises(ValueError):
+        load_reports(spark)
     for name in ("campaign_summary", "sales_report"):
-        spark.catalog.dropTempView(name)
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_views_instead_of_tables(spark, tmp_path):
+    loaded = load_reports(spark, sales_paths=xlsx_file(tmp_path / "s.xlsx", SALES_CELLS), durable=False)
+    assert loaded.sales.count() == len(T2) and not has_rows(loaded.campaign)
+    spark.catalog.dropTempView("sales_report")
 
 
 def test_tables_are_empty_before_any_load(spark):

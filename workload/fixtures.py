@@ -44,7 +44,13 @@ SALES = {
     "purchased_sku": "CAST(l_partkey AS STRING)",
     "total_sales": MONEY["total_sales"],
 }
-PROMOTION_LINES = 2  # line numbers of the monthly promotions
+# The monthly promotions: every line, some for another SKU, some campaigns half a year late.
+PROMOTION = {
+    "date": "CAST(date_trunc('month', l_shipdate) + INTERVAL 6 MONTH * CAST(l_suppkey % 10 = 3 AS INT) AS DATE)",
+    "promoted_sku": "CAST(CASE WHEN l_partkey % 50 = 0 THEN NULL WHEN l_orderkey % 3 = 0 THEN l_partkey + 1 "
+    "ELSE l_partkey END AS STRING)",
+}
+SPARK_PROMOTION_MONTH = "add_months(trunc(CAST(l_shipdate AS DATE), 'MM'), 6 * CAST(l_suppkey % 10 = 3 AS INT))"
 
 
 def _items(columns: dict[str, str]) -> list[str]:
@@ -74,10 +80,9 @@ def sales_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monthly_promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Campaign report rows by month, of the first two lines of each order."""
-    lines = read(spark, sf_dir, "lineitem").filter(f"l_linenumber <= {PROMOTION_LINES}")
-    columns = BASE | SPARK_MONEY | {"date": SPARK_MONTH}
-    return lines.selectExpr(*_items(columns)).selectExpr("*", *_items(RATIOS))
+    """Campaign report rows by month, made from every order line."""
+    columns = BASE | SPARK_MONEY | PROMOTION | {"date": SPARK_PROMOTION_MONTH}
+    return read(spark, sf_dir, "lineitem").selectExpr(*_items(columns)).selectExpr("*", *_items(RATIOS))
 
 
 def _cte(name: str, columns: dict[str, str], source: str, ratios: bool = True) -> str:
@@ -92,5 +97,5 @@ CAMPAIGN_CTE = _cte(
 )
 SALES_CTE = _cte("sales", SALES | {"date": SALES["order_date"]}, "lineitem", ratios=False)
 PROMO_CTE = _cte(
-    "promo", BASE | {"date": SALES["order_date"]}, f"lineitem WHERE l_linenumber <= {PROMOTION_LINES}"
+    "promo", BASE | PROMOTION, "lineitem"
 )

@@ -46,6 +46,15 @@ def wide(keys: str, source: str = "campaign", where: str = "true", digits: int =
     return f"SELECT {keys}, {metrics} FROM {source} WHERE {where} AND {not_null} GROUP BY {keys}"
 
 
+def even(keys: str, digits: int = 2) -> str:
+    """Grouped table with all metrics by class, ties rounded to the even digit."""
+    parts = []
+    for m in METRICS:
+        total = f"sum({m})" if m in ("total_sales", "spend") else agg(m)
+        parts.append(f"{agg(m)} AS {m}" if m in ("impressions", "clicks") else f"CAST(round_even({total}, {digits}) AS DOUBLE) AS {m}")
+    return f"SELECT {keys}, {', '.join(parts)} FROM campaign WHERE {keys} IS NOT NULL GROUP BY {keys}"
+
+
 def long(key: str, metrics=tuple(METRICS), source: str = "campaign", where: str = "true") -> str:
     """(key, metric, value) without rounding, one branch per metric."""
     return " UNION ALL ".join(
@@ -66,10 +75,10 @@ def placed(key: str, metric: str, where: str = "true") -> str:
     )
 
 
-def trend(metric: str, where: str = "true") -> str:
+def trend(metric: str, where: str = "true", low: int = 1, high: int = 5) -> str:
     return with_(CAMPAIGN_CTE, f"placed AS ({placed('campaign_id', metric, where)})") + (
         f"SELECT date, campaign_id, placement_type, {rounded(metric, kind='sum')} AS value, position AS rank "
-        f"FROM campaign JOIN placed USING (campaign_id) WHERE {where} AND position <= 5 AND placement_type IS NOT NULL "
+        f"FROM campaign JOIN placed USING (campaign_id) WHERE {where} AND position BETWEEN {low} AND {high} AND placement_type IS NOT NULL "
         "GROUP BY date, campaign_id, placement_type, position"
     )
 
@@ -213,7 +222,8 @@ ORACLE: dict[str, str] = {
     "normalize_campaign": C
     + f"SELECT date, campaign_id, placement_type, promoted_sku, promoted_product_id, promoted_product, {TYPED} FROM campaign",
     "normalize_sales": S
-    + "SELECT date, order_date, campaign_id, purchased_sku, CAST(total_sales AS DOUBLE) AS total_sales FROM sales",
+    + "SELECT date, order_date, campaign_id, purchased_sku, CAST(total_sales AS DOUBLE) AS total_sales, "
+    "CAST(CASE WHEN CAST(purchased_sku AS INT) % 3 = 0 THEN 18 ELSE 0 END AS BIGINT) AS order_hour FROM sales",
     "date_bounds": C + "SELECT min(date) AS min_date, max(date) AS max_date FROM campaign",
     "filter_date_range": C
     + "SELECT date, campaign_id, promoted_sku, CAST(total_sales AS DOUBLE) AS total_sales, clicks "
@@ -242,7 +252,7 @@ ORACLE: dict[str, str] = {
     "pair_key": C
     + "SELECT DISTINCT least(campaign_id, promoted_sku) AS lo, greatest(campaign_id, promoted_sku) AS hi "
     "FROM campaign WHERE campaign_id IS NOT NULL AND promoted_sku IS NOT NULL",
-    "round_metrics": C + wide("campaign_id"),
+    "round_metrics": C + even("campaign_id"),
     "metric_text": C
     + " UNION ALL ".join(
         f"SELECT campaign_id, '{m}' AS metric, printf('%.2f {METRICS[m].unit.replace('%', '%%')}', "
@@ -263,7 +273,7 @@ ORACLE: dict[str, str] = {
     "basic_facts": C
     + "SELECT count(DISTINCT campaign_id) AS n_campaigns, min(date) AS min_date, max(date) AS max_date FROM campaign",
     "metric_profile": C + PROFILE,
-    "campaign_overview": C + wide("campaign_id"),
+    "campaign_overview": C + even("campaign_id"),
     "metric_totals_sum": C + totals("campaign_id", "total_sales"),
     "metric_totals_mean": C
     + f"SELECT promoted_sku, {near('value')} AS value FROM ({totals('promoted_sku', 'roas')})",
@@ -288,7 +298,11 @@ ORACLE: dict[str, str] = {
         CAMPAIGN_CTE, f"v AS ({long('campaign_id', MEAN_METRICS)})", f"placed AS ({placed('campaign_id', 'total_sales')})"
     )
     + f"SELECT campaign_id, metric, {near('v.value')} AS value FROM v JOIN placed USING (campaign_id) WHERE position <= 5",
-    "promoted_sets": with_(PROMO_CTE, SETS) + "SELECT * FROM sets",
+    "promoted_sets": with_(PROMO_CTE, SETS)
+    + "SELECT DISTINCT campaign_id, date, promoted_sku, n_skus FROM promo JOIN sets USING (campaign_id, date) "
+    "WHERE promoted_sku IS NOT NULL OR n_skus = 0",
+    "promoted_lists": with_(PROMO_CTE, SETS)
+    + f"SELECT date, n_skus, promoted_skus FROM sets WHERE campaign_id = '{CAMPAIGN}'",
     "promoted_sales": SP.rstrip() + f",\n{BY_FLAG}\n"
     + "SELECT campaign_id, is_promoted, category, CAST(total_sales AS DOUBLE) AS total_sales FROM by_flag",
     "promoted_daily": SP
@@ -314,9 +328,9 @@ ORACLE: dict[str, str] = {
     "campaign_products": C
     + "SELECT DISTINCT coalesce(promoted_sku, '0') AS promoted_sku, promoted_product_id, promoted_product "
     f"FROM campaign WHERE campaign_id = '{CAMPAIGN}'",
-    "attach_promoted": with_(SALES_CTE, PROMO_CTE, SETS)
-    + "SELECT s.date, s.campaign_id, purchased_sku, CAST(total_sales AS DOUBLE) AS total_sales, n_skus, promoted_skus "
-    "FROM sales s LEFT JOIN sets p ON s.campaign_id = p.campaign_id AND s.date = p.date",
+    "attach_promoted": SP.rstrip() + f",\n{SETS}\n"
+    + "SELECT s.date, s.campaign_id, purchased_sku, CAST(total_sales AS DOUBLE) AS total_sales, n_skus, is_promoted "
+    "FROM flagged s LEFT JOIN sets p ON s.campaign_id = p.campaign_id AND s.date = p.date",
     "set_membership": SP
     + "SELECT date, campaign_id, purchased_sku, CAST(total_sales AS DOUBLE) AS total_sales, is_promoted FROM flagged",
     "semi_top_campaigns": with_(CAMPAIGN_CTE, f"placed AS ({placed('campaign_id', 'total_sales')})")
@@ -374,6 +388,19 @@ ORACLE: dict[str, str] = {
         "WHERE promoted_sku IS NOT NULL GROUP BY promoted_sku)",
     )
     + "SELECT promoted_sku, row_number() OVER (ORDER BY seen_at, promoted_sku) AS position FROM f",
+    "trend_ranks_6_10": trend("spend", f"date >= DATE '{START}'", 6, 10),
+    "page_of_rank_range": with_(CAMPAIGN_CTE, f"placed AS ({placed('promoted_sku', 'total_sales')})")
+    + "SELECT promoted_sku, value, position, CAST(3 AS BIGINT) AS page_count FROM placed WHERE position BETWEEN 26 AND 33",
+    "flow_products_by_sku": with_(*flow_ctes("promoted_sku", SKU, "total_sales"))
+    + "SELECT fwd.promoted_sku, campaign_id, fwd.total_sales, p.promoted_product FROM fwd "
+    f"LEFT JOIN (SELECT DISTINCT promoted_sku, promoted_product FROM rows_ WHERE promoted_sku = '{SKU}') p "
+    "ON p.promoted_sku = fwd.promoted_sku",
+    "flow_links_full": numbered_links("campaign_id", CAMPAIGN, "total_sales"),
+    "flow_pair_slots_full": with_(*flow_ctes("campaign_id", CAMPAIGN, "total_sales")) + "SELECT lo, hi, pair_id, slot FROM slots",
+    "campaign_flagged_rows": SP
+    + "SELECT order_date, campaign_id, purchased_sku, CAST(total_sales AS DOUBLE) AS total_sales, date, is_promoted, "
+    f"match_status FROM flagged WHERE campaign_id = '{CAMPAIGN}'",
+    "share_sku_spend": share("promoted_sku", "spend", 7, True),
     "trend_top5_total_sales": trend("total_sales"),
     "trend_top5_roas": trend("roas", WINDOW),
     "share_campaign_top5": share("campaign_id", "total_sales", 5, True),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,18 +46,53 @@ def plain(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.select(*columns)
 
 
+def exact(df: DataFrame) -> DataFrame:
+    """Types alone on which both engines agree: the rounding is the operator's own."""
+    return df.select(*[
+        F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name) for f in df.schema
+    ])
+
+
 # --- ingest and row expressions ---------------------------------------------
 
 
+def as_cells(df: DataFrame, vary: Column, ids_: list[str], dates: list[str], quarter: float) -> DataFrame:
+    """The report as its files have it: text, with ids like ``7.0``, days as text, ``yyyyMMdd`` or numbers, and NaN."""
+    serial = F.datediff(F.col(dates[0]), F.lit("1899-12-30").cast("date"))
+    day = (
+        F.when(vary % 3 == 0, F.concat(serial.cast("string"), F.lit(str(quarter)[1:])))
+        .when(vary % 3 == 1, F.date_format(dates[0], "yyyyMMdd"))
+        .otherwise(F.date_format(dates[0], "yyyy-MM-dd"))
+    )
+    cells = {}
+    for name, kind in df.dtypes:
+        text = F.col(name).cast("string")
+        if name in dates:
+            cells[name] = day
+        elif name in ids_:
+            cells[name] = F.when(vary % 2 == 0, F.concat(text, F.lit(".0"))).otherwise(text)
+        elif kind == "double":
+            cells[name] = F.coalesce(text, F.lit("NaN"))
+        elif kind == "bigint":
+            cells[name] = F.concat(text, F.lit(".0"))
+        else:
+            cells[name] = text
+    return df.select(*[c.alias(n) for n, c in cells.items()])
+
+
 @query
 def normalize_campaign(spark, sf):
-    typed = normalize.normalize_campaign(campaign_summary(spark, sf, product=True))
-    return plain(typed)
+    report = campaign_summary(spark, sf, product=True)
+    cells = as_cells(report, F.col("clicks"), ["campaign_id", "promoted_sku", "promoted_product_id"], ["date"], 0.0)
+    return plain(normalize.normalize_campaign(cells))
 
 
 @query
 def normalize_sales(spark, sf):
-    return plain(normalize.normalize_sales(sales_report(spark, sf)).withColumn("order_date", F.col("order_date").cast("date")))
+    report = sales_report(spark, sf).drop("date")
+    cells = as_cells(report, F.col("purchased_sku").cast("int"), ["campaign_id", "purchased_sku"], ["order_date"], 0.75)
+    typed = normalize.normalize_sales(cells).withColumn("order_hour", F.hour("order_date"))
+    return plain(typed.withColumn("order_date", F.col("order_date").cast("date")))
 
 
 @query
@@ -137,7 +172,7 @@ def pair_key(spark, sf):
 
 @query
 def round_metrics(spark, sf):
-    return plain(values.round_metrics(metrics.campaign_overview(campaign_summary(spark, sf), None), 4))
+    return exact(values.round_metrics(metrics.campaign_overview(campaign_summary(spark, sf), None), 2))
 
 
 @query
@@ -182,7 +217,7 @@ def metric_profile(spark, sf):
 
 @query
 def campaign_overview(spark, sf):
-    return plain(metrics.campaign_overview(campaign_summary(spark, sf), 4))
+    return exact(metrics.campaign_overview(campaign_summary(spark, sf), 2))
 
 
 @query
@@ -235,10 +270,13 @@ def top_group_means(spark, sf):
 
 @query
 def promoted_sets(spark, sf):
-    sets = attribution.promoted_sets(monthly_promotions(spark, sf))
-    return sets.select(
-        "campaign_id", "date", "n_skus", F.array_join("promoted_skus", ",").alias("promoted_skus")
-    )
+    return attribution.promoted_sets(monthly_promotions(spark, sf))
+
+
+@query
+def promoted_lists(spark, sf):
+    lists = attribution.promoted_lists(monthly_promotions(spark, sf), CAMPAIGN)
+    return lists.withColumn("promoted_skus", F.array_join("promoted_skus", ","))
 
 
 @query
@@ -292,8 +330,7 @@ def campaign_products(spark, sf):
 @query
 def attach_promoted(spark, sf):
     rows = attribution.attach_promoted(sales_report(spark, sf), monthly_promotions(spark, sf))
-    joined = F.array_join("promoted_skus", ",").alias("promoted_skus")
-    return plain(rows.select("date", "campaign_id", "purchased_sku", "total_sales", "n_skus", joined))
+    return plain(rows.select("date", "campaign_id", "purchased_sku", "total_sales", "n_skus", "is_promoted"))
 
 
 @query
@@ -479,3 +516,42 @@ def score_sku(spark, sf):
 def cumulative_score(spark, sf):
     weights = {"total_sales": 0.4, "clicks": 0.3, "spend": 0.3}
     return plain(score.cumulative_score(campaign_summary(spark, sf), weights), 6)
+
+
+# --- other arguments of the same operators ------------------------------------
+
+
+@query
+def trend_ranks_6_10(spark, sf):
+    return plain(trend.trend(campaign_summary(spark, sf), "spend", 6, 10, start=START, mode="complete").series)
+
+
+@query
+def page_of_rank_range(spark, sf):
+    totals = metrics.metric_totals(campaign_summary(spark, sf), "promoted_sku", "total_sales")
+    return plain(ranking.page_of(totals, "promoted_sku", 3, value="value", low=6, high=33))
+
+
+@query
+def flow_products_by_sku(spark, sf):
+    return plain(flows.flow(campaign_summary(spark, sf, product=True), "promoted_sku", SKU).detail)
+
+
+@query
+def flow_links_full(spark, sf):
+    return plain(flows.flow(campaign_summary(spark, sf), "campaign_id", CAMPAIGN).links)
+
+
+@query
+def flow_pair_slots_full(spark, sf):
+    return flows.flow(campaign_summary(spark, sf), "campaign_id", CAMPAIGN).slots
+
+
+@query
+def campaign_flagged_rows(spark, sf):
+    return plain(contribution.campaign_sales(sales_report(spark, sf), monthly_promotions(spark, sf), CAMPAIGN).detail)
+
+
+@query
+def share_sku_spend(spark, sf):
+    return plain(distribution.distribution(campaign_summary(spark, sf), "promoted_sku", "spend", 7).shares)
