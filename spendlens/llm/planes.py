@@ -31,6 +31,8 @@ from spendlens.llm.words import Memory, by_bytes, is_open
 
 #: Ids in a block, and the ids after which a run of documents is closed.
 BLOCK, CHUNK = 1 << 16, 1 << 20
+#: Parts of texts that are encoded as one text.
+TOGETHER = 200
 CHUNKS = T.StructType([
     T.StructField("shard", T.LongType()),
     T.StructField("first", T.LongType()),
@@ -122,8 +124,8 @@ def after_space(path: str, parts: list[str]) -> list[bytes | None]:
 
     The parts are encoded together: only a part's first token has the space.
     """
-    closed = [p for p in parts if not is_open(p)]
-    joined = [" " + " ".join(group) for group in by_bytes(closed, 2_000)]
+    closed = [p for p in parts if p and not p[-1].isspace()]
+    joined = [" " + " ".join(closed[i : i + TOGETHER]) for i in range(0, len(closed), TOGETHER)]
     found = []
     for batch in by_bytes(joined, BATCH_CHARS):
         for encoding in tokenizer(path).encode_batch_fast(batch, add_special_tokens=False):
@@ -131,6 +133,8 @@ def after_space(path: str, parts: list[str]) -> list[bytes | None]:
             begins = (np.flatnonzero(begins_with_space(path)[ids]) * 4).tolist()
             data = ids.tobytes()
             found += [data[a:b] for a, b in zip(begins, [*begins[1:], len(data)])]
+    if len(closed) == len(parts):
+        return found
     known = dict(zip(closed, found, strict=True))
     return [known.get(p) for p in parts]
 
@@ -145,14 +149,17 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers, as the library gives them."""
     heads, tails = memories(path)
     parts = [t.split(" ") for t in texts]
-    heads.learn(([p[0]] for p in parts), lambda missing: whole(path, missing))
-    tails.learn((p[1:] for p in parts), lambda missing: after_space(path, missing))
-    out = []
-    for text, (head, *rest) in zip(texts, parts):
-        ids = [heads[head], *map(tails.__getitem__, rest)]
-        if rest and (is_open(head) or None in ids):  # a run of white space with a space in it
-            ids = whole(path, [text])
-        out.append(b"".join(ids))
+    first = [p.pop(0) for p in parts]
+    heads.learn([first], lambda missing: whole(path, missing))
+    tails.learn(parts, lambda missing: after_space(path, missing))
+    out, known = [], tails.__getitem__
+    for text, head, rest in zip(texts, first, parts):
+        try:
+            if rest and is_open(head):
+                raise TypeError
+            out.append(heads[head] + b"".join(map(known, rest)))
+        except TypeError:  # a part without ids of its own: a run of white space with a space in it
+            out += whole(path, [text])
     return out
 
 
