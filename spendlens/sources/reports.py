@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.functions.checks import check_choice
+from spendlens.operators.lineage import cut
 from spendlens.operators.skew import heavy_keys, salted_left_join
 from spendlens.schema import BROADCAST_ROWS, CAMPAIGN_LABELS, METRICS, SALES_LABELS
 
@@ -130,45 +131,41 @@ def _read_csv(spark: SparkSession, paths: list[str], lead_rows: int, labels: lis
 def _read_xlsx(spark: SparkSession, paths: list[str], lead_rows: int, labels: list[str],
                required: list[str]) -> tuple[DataFrame, DataFrame]:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of each file; one with an error, at the end, if the file is no report."""
         from spendlens.sources.sheets import sheet_rows
 
-        def problem(content: bytes) -> str | None:
-            """Read a file to its end before any of its rows are passed on."""
-            headings = None
-            try:
-                for number, cells in sheet_rows(content):
-                    if headings is None and number > lead_rows:
-                        headings = set(cells.values())
-            except Exception as damage:  # any damage rejects the file, not the job
-                return f"{type(damage).__name__}: {damage}"
-            if headings is None:
-                return NO_HEADINGS
-            missing = [label for label in required if label not in headings]
-            return f"missing columns: {', '.join(missing)}" if missing else None
-
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                error = problem(content)
-                if error:
-                    yield pd.DataFrame({"path": [path], "fields": [None], "error": [error]})
-                    continue
                 places: list[int | None] | None = None
                 rows: list[list[str | None]] = []
-                for number, cells in sheet_rows(content):
-                    if number <= lead_rows:
-                        continue
-                    if places is None:
-                        columns = {text: column for column, text in reversed(cells.items())}
-                        places = [columns.get(label) for label in labels]
-                        continue
-                    rows.append([cells.get(p) for p in places])
-                    if len(rows) == BATCH_ROWS:
-                        yield pd.DataFrame({"path": path, "fields": rows, "error": None})
-                        rows = []
+                error = None
+                try:
+                    for number, cells in sheet_rows(content):
+                        if number <= lead_rows:
+                            continue
+                        if places is None:
+                            columns = {text: column for column, text in reversed(cells.items())}
+                            missing = [label for label in required if label not in columns]
+                            if missing:
+                                error = f"missing columns: {', '.join(missing)}"
+                                break
+                            places = [columns.get(label) for label in labels]
+                            continue
+                        rows.append([cells.get(p) for p in places])
+                        if len(rows) == BATCH_ROWS:
+                            yield pd.DataFrame({"path": path, "fields": rows, "error": None})
+                            rows = []
+                    if places is None and error is None:
+                        error = NO_HEADINGS
+                except Exception as damage:  # any damage rejects the file, not the job
+                    error = f"{type(damage).__name__}: {damage}"
                 if rows:
                     yield pd.DataFrame({"path": path, "fields": rows, "error": None})
+                if error:
+                    yield pd.DataFrame({"path": [path], "fields": [None], "error": [error]})
 
-    files = spark.read.format("binaryFile").load(paths)
-    decoded = files.select("path", "content").mapInPandas(decode, "path string, fields array<string>, error string")
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    # decoded once: damage at the end of a file takes back the rows before it
+    decoded = cut(files.mapInPandas(decode, "path string, fields array<string>, error string"))
     rejected = decoded.filter(F.col("error").isNotNull()).select("path", "error")
-    return decoded.filter(F.col("error").isNull()).select("path", "fields"), rejected
+    return decoded.filter(F.col("error").isNull()).select("path", "fields").join(rejected.select("path"), "path", "left_anti"), rejected
