@@ -12,6 +12,7 @@ So no two linked texts of a bucket end in different classes, at any size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache, reduce
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.llm.common import bounded_broadcast, kept, require, with_columns
-from spendlens.llm.decontam import roll, words
+from spendlens.llm.decontam import MIX, roll, words
 from spendlens.llm.words import Memory
 
 #: Nodes of a bucket of which all pairs are verified, and rounds of pivots before the rest is paired by distance alone.
@@ -49,16 +50,15 @@ def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, (n, 1), np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, (n, 1), np.uint32)
 
 
-def ngrams(text: bytes | None, width: int, known: Memory) -> np.ndarray:
-    """Sorted hashes of the distinct n-grams; one of all words if they are fewer than ``width``."""
+def ngrams(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
+    """For each text the sorted hashes of its distinct n-grams; one of all words if they are fewer than ``width``."""
     from xxhash import xxh3_64_intdigest
 
-    found = words(text)
-    if not found:
-        return np.zeros(0, np.uint64)
-    known.learn([found], lambda missing: map(xxh3_64_intdigest, missing))
-    ids = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-    return np.unique(roll(ids, min(width, len(ids))))
+    known, found = worker_memory(), list(map(words, texts))
+    known.learn(found, lambda missing: map(xxh3_64_intdigest, missing))
+    for own in found:
+        ids = np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
+        yield np.unique(roll(ids, min(width, len(ids)))) if own else np.zeros(0, np.uint64)
 
 
 def signature(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -68,8 +68,11 @@ def signature(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
     short = ((grams * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
     for begin in range(0, len(short), 2048):
         np.minimum(least, (factor * short[begin : begin + 2048] + shift).min(axis=1), out=least)
-    table = least.reshape(bands, rows).astype(np.uint64)
-    return np.concatenate([roll(row, rows) for row in table]).view(np.int64)
+    out = np.zeros(bands, np.uint64)
+    for column in least.reshape(bands, rows).T.astype(np.uint64):
+        out = (out + column) * MIX
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -94,8 +97,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, bands: int, row
 
         for (texts,), batch in batches:
             nodes, found = [], []
-            for value in texts:
-                grams = ngrams(value, width, worker_memory())
+            for grams in ngrams(texts, width):
                 nodes.append(xxh3_128_digest(grams.tobytes()) if len(grams) else None)
                 found.append(signature(grams, bands, rows) if len(grams) else [])
             yield [nodes, found], batch
@@ -112,7 +114,7 @@ def gram_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, width: in
         from xxhash import xxh3_128_digest
 
         for (texts,), batch in batches:
-            sets = [ngrams(value, width, worker_memory()).tobytes() for value in texts]
+            sets = [grams.tobytes() for grams in ngrams(texts, width)]
             yield [[xxh3_128_digest(s) for s in sets], sets], batch
 
     keyed = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.col(text).alias("text"))

@@ -9,6 +9,7 @@ repeat across texts, so workers remember their tokens.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import filterfalse
 
 #: Stretches of a generation of a worker's memory, and characters for each.
 REMEMBERED, REMEMBERED_CHARS = 350_000, 24
@@ -30,7 +31,7 @@ class Memory(dict):
     def learn(self, parts: Iterable[Iterable[str]], compute: Callable[[list[str]], Iterable]) -> None:
         """Make every part of these texts known."""
         wanted = set().union(*parts)
-        missing = wanted.difference(self)
+        missing = set(filterfalse(self.__contains__, wanted))  # difference() would walk through the whole memory
         if len(self) + len(missing) > self.limit or self.chars > self.limit * REMEMBERED_CHARS:
             self.older = dict(self)
             self.clear()
