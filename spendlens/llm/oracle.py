@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from spendlens.llm import rules, urls
+from spendlens.llm.queries import URL_RULES
+
 ORACLE: dict[str, str] = {}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -47,3 +50,111 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
+
+
+# --- op2: templates level by level ----------------------------------------------
+
+
+def url_levels() -> str:
+    """One step of the tree for each level, from ``t0`` to the last."""
+    steps = []
+    for k in range(1, urls.DEPTH + 1):
+        steps.append(f"""
+l{k} AS (SELECT *, CASE WHEN regexp_matches(seg[{k}], '{urls.VARIABLE}') THEN '*' ELSE seg[{k}] END AS own FROM t{k - 1}),
+v{k} AS (SELECT host, done FROM (SELECT host, done, own, sum(pages) AS n FROM l{k} WHERE own <> '*' GROUP BY ALL)
+         GROUP BY host, done HAVING count(*) >= {urls.MANY} AND sum(n) < {urls.FEW_PAGES} * count(*)),
+t{k} AS (SELECT l.host, path, pages, blocked, labelled, seg, CASE WHEN own IS NULL THEN l.done
+         ELSE list_append(l.done, CASE WHEN v.host IS NOT NULL THEN '*' ELSE own END) END AS done
+         FROM l{k} l LEFT JOIN v{k} v ON l.host = v.host AND l.done = v.done)""")
+    return ",".join(steps)
+
+
+def rule_cases(give: str) -> str:
+    cases = []
+    for rule, verdict in sorted(URL_RULES, key=lambda r: -len(r[0])):
+        host, path = rule.split("/", 1)
+        fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
+        cases.append(f"WHEN {fits} THEN '{rule if give == 'rule' else verdict}'")
+    return f"CASE {' '.join(cases)} END AS {give}"
+
+
+PARTS = r"'(?s)^.*?://([^/?#]*)([^?#]*)'"
+WEIGHT = urls.WEIGHT
+ORACLE["op2_url_filters"] = f"""
+WITH parts AS (
+  SELECT page_id, {LOWER.format(f"regexp_extract(coalesce(url, ''), {PARTS}, 1)")} AS host,
+         regexp_extract(coalesce(url, ''), {PARTS}, 2) AS path FROM pages
+), p AS (SELECT *, {rule_cases("rule")}, {rule_cases("said")} FROM parts),
+paths AS (
+  SELECT host, path, count(*) AS pages, count(*) FILTER (said = 'block') AS blocked, count(said) AS labelled,
+         list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM p GROUP BY host, path
+),
+t0 AS (SELECT host, path, pages, blocked, labelled, CASE WHEN len(parts) <= {urls.DEPTH} THEN parts
+       ELSE list_append(parts[1:{urls.DEPTH - 1}], array_to_string(parts[{urls.DEPTH}:], '/')) END AS seg,
+       CAST([] AS VARCHAR[]) AS done FROM paths),{url_levels()},
+ends AS (SELECT *, list_max(list_transform(range(1, len(done) + 1), lambda i: CASE WHEN done[i] <> '*' THEN i ELSE 0 END)) AS fixed
+         FROM t{urls.DEPTH}),
+named AS (SELECT host, path, blocked, labelled, '/' || array_to_string(done, '/') AS template, '/' || array_to_string(
+          list_transform(range(1, len(done) + 1), lambda i: CASE WHEN i = fixed THEN '{{}}' ELSE done[i] END), '/') AS branch FROM ends),
+leaves AS (SELECT host, branch, template, sum(blocked) AS blocked, sum(labelled) AS labelled FROM named GROUP BY ALL),
+near AS (SELECT *, sum(blocked) OVER w / nullif(sum(labelled) OVER w, 0) AS base FROM leaves WINDOW w AS (PARTITION BY host, branch)),
+scored AS (SELECT *, coalesce((blocked - labelled * base) / sqrt(labelled * base * (1 - base) + 0.25), 0) AS z FROM near),
+placed AS (SELECT *, CASE WHEN z > {urls.DIFFERENT} THEN 'more' WHEN z < -{urls.DIFFERENT} THEN 'less' ELSE 'alike' END AS kind FROM scored),
+shares AS (
+  SELECT *, sum(blocked) OVER (PARTITION BY host, branch, kind) AS mb, sum(labelled) OVER (PARTITION BY host, branch, kind) AS ml,
+         sum(blocked) OVER (PARTITION BY host) AS hb, sum(labelled) OVER (PARTITION BY host) AS hl,
+         sum(blocked) OVER () AS ab, sum(labelled) OVER () AS al FROM placed
+),
+purity AS (
+  SELECT host, template, (mb + {WEIGHT} * (hb + {WEIGHT} * (ab + {WEIGHT} * {urls.PRIOR}) / (al + {WEIGHT})) / (hl + {WEIGHT}))
+         / (ml + {WEIGHT}) AS purity FROM shares
+)
+SELECT page_id, p.host, p.path, rule,
+       coalesce(said, CASE WHEN purity >= {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, n.template
+FROM p JOIN named n ON p.host = n.host AND p.path = n.path JOIN purity u ON n.host = u.host AND n.template = u.template
+"""
+
+# --- op10: cutoffs by exact binomial tests ----------------------------------------
+
+SHARE = rules.RISK / len(rules.RULES)
+VALUES = " UNION ALL ".join(
+    f"SELECT stratum, good, '{name}' AS rule, {value} AS value FROM m JOIN known USING (doc_id)" for name, (value, _) in rules.RULES.items()
+)
+GRID = " UNION ALL ".join(f"SELECT '{name}' AS rule, unnest({grid}::DOUBLE[]) AS cutoff" for name, (_, grid) in rules.RULES.items())
+CUTS = ", ".join(f"max(cutoff) FILTER (rule = '{name}') AS cut_{name}" for name in rules.RULES)
+BROKEN = ", ".join(f"CASE WHEN {value} > cut_{name} THEN '{name}' END" for name, (value, _) in rules.RULES.items())
+
+ORACLE["op10_quality_rules"] = rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines
+  FROM documents
+),
+wins AS (SELECT doc_id, p, array_to_string(words[p:p + 7], ' ') AS win
+         FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS p FROM w WHERE len(words) >= 8)),
+twice AS (SELECT doc_id, win FROM wins GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n
+            FROM (SELECT doc_id, unnest(range(p, p + 8)) AS q FROM wins JOIN twice USING (doc_id, win)) GROUP BY doc_id),
+m AS (SELECT doc_id, stratum, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN covered USING (doc_id)),
+known AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id),
+v AS ({VALUES}),
+tested AS (SELECT stratum, rule, cutoff, count(*) FILTER (good = 1 AND value > cutoff) AS good_out,
+                  count(*) FILTER (good = 0 AND value > cutoff) AS bad_out, count(*) FILTER (good = 1) AS n
+           FROM v JOIN ({GRID}) USING (rule) GROUP BY ALL),
+proved AS (SELECT *, count(*) OVER () AS tests, CASE WHEN good_out < n * {SHARE} THEN list_sum(list_transform(range(0, good_out + 1),
+             lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({SHARE}) + (n - i) * ln(1 - {SHARE}))))
+             ELSE 1 END AS chance FROM tested),
+best AS (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY bad_out - {rules.CAUTION} * good_out DESC, cutoff DESC) AS place
+         FROM proved WHERE chance <= {rules.ERROR} / tests AND bad_out > {rules.CAUTION} * good_out),
+cuts AS (SELECT stratum, {CUTS} FROM best WHERE place = 1 GROUP BY stratum),
+judged AS (SELECT m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+                  list_filter([{BROKEN}], lambda x: x IS NOT NULL) AS broken FROM m LEFT JOIN cuts USING (stratum))
+SELECT doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       coalesce(array_to_string(broken, ','), '') AS rejected_by, NOT base_failed AND len(broken) = 0 AS kept FROM judged
+"""

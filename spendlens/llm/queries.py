@@ -34,7 +34,7 @@ URL_RULES = [
 
 @query
 def op2_url_filters(spark, sf_dir):
-    return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("purity")
 
 
 @query
@@ -97,4 +97,5 @@ def op9_token_counts(spark, sf_dir):
 @query
 def op10_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return rules.judge(docs, table(spark, sf_dir, "labels")).drop("n_lines")
+    judged_docs = rules.judge(docs, table(spark, sf_dir, "labels")).drop("n_lines")
+    return judged_docs.withColumn("rejected_by", F.array_join("rejected_by", ","))

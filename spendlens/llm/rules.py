@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.llm.common import bounded_broadcast, kept, require
-from spendlens.llm.subword import held_out
 
 #: Share of a stratum's good documents that all rules together may reject, and the chance that any test errs.
 RISK, ERROR = 0.04, 0.05
@@ -120,15 +119,15 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, key: st
                    risk: float = RISK, error: float = ERROR) -> DataFrame:
     """stratum, and for each rule the cutoff or null.
 
-    Labelled documents, except those held out for tests, count as good (label
-    1) or bad (0).  A cutoff is allowed if the chance of so few rejected good
+    All labelled documents are the holdout, as the lists of cutoffs are fixed:
+    good (label 1) or bad (0).  A cutoff is allowed if the chance of so few rejected good
     documents, were their true share the rule's limit, is at most ``error``
     divided by all tests.  Of the allowed ones that reject more bad than ``CAUTION``
     times good ones, the best wins; a tie goes to the higher cutoff.  A stratum
     with too few good documents for any proof has no cutoffs.
     """
     require(labels, key, label)
-    marked = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(key)))
+    marked = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1))
     known = marked.groupBy(key).agg(F.min(label).alias("_good"))  # a document labelled both ways is bad
     rows = measured.join(known, key)
     above = [F.struct(F.lit(name).alias("rule"), passed(F.expr(value), grid).alias("level")) for name, (value, grid) in RULES.items()]

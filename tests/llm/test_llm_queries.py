@@ -28,7 +28,7 @@ def read(spark, name, sf=SF_SMALL):
     return [r.asDict() for r in spark.read.parquet(f"{sf}/{name}.parquet").collect()]
 
 
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op8_decontamination"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_url_filters", "op8_decontamination", "op10_quality_rules"])
 def test_against_sql(spark, name):
     assert difference(spark, connect(SF_SMALL), entry.queries()[name], entry.oracle_sql()[name], SF_SMALL) is None
 
