@@ -7,6 +7,7 @@ against a pivot; those within the threshold are linked through it, and the rest
 on to the next round with a pivot of its own.  As Jaccard distance obeys the
 triangle inequality, the distances to the pivot tell which of the rest could
 still be linked to nodes that have a link; just those pairs are verified too.
+Beforehand, nodes go whose n-grams are too often theirs alone to be linked.
 So no two linked texts of a bucket end in different classes, at any size.
 """
 
@@ -16,16 +17,17 @@ from collections.abc import Iterator
 from functools import cache, reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlens.llm.common import bounded_broadcast, kept, require, with_columns
+from spendlens.llm.common import bounded_broadcast, kept, map_slices, require, with_columns
 from spendlens.llm.decontam import MIX, roll, words
 from spendlens.llm.words import Memory
 
 #: Nodes of a bucket of which all pairs are verified, and rounds of pivots before the rest is paired by distance alone.
-SMALL, ROUNDS = 48, 8
+SMALL, ROUNDS = 48, 2
 MOST_HASHES = 128
 NO_KEY = -(1 << 63)
 
@@ -124,6 +126,25 @@ def gram_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, width: in
     return computed.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
+def linkable(sets: DataFrame, threshold: float) -> DataFrame:
+    """The nodes that can be linked at all: an n-gram that no other node has is
+    never shared, so a node with too many of them reaches the threshold with none."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in map_slices(batches):
+            for number, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(grams, np.int64)
+                yield pa.RecordBatch.from_pydict({"gram": own, "id": np.full(len(own), number)})
+
+    named = sets.withColumn("id", F.xxhash64("node"))
+    rows = named.select("id", "grams").mapInArrow(spread, "gram long, id long")
+    single = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
+    alone = single.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    size = F.octet_length("grams") / 8
+    able = F.coalesce("alone", F.lit(0)) <= (1 - threshold) * size + 1e-6
+    return named.join(alone, "id", "left").filter(able).select("node")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, jaccard of pairs of nodes."""
 
@@ -151,10 +172,18 @@ def small_pairs(members: DataFrame) -> DataFrame:
 
 
 def sized(members: DataFrame) -> DataFrame:
-    """Members of buckets of two and more, with the bucket's size and pivot."""
-    pivot = F.expr("min_by(node, xxhash64(node, value))").alias("pivot")
-    sizes = members.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n"), pivot).filter("n > 1")
-    return members.join(sizes, BUCKET)
+    """Members of buckets of two and more, with the bucket's size."""
+    return members.join(members.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), BUCKET)
+
+
+def with_pivot(large: DataFrame) -> DataFrame:
+    """Members of large buckets with the bucket's pivot: the one that shares the
+    most buckets with the most others.  That is the middle of a group of near
+    copies, and the same one in all its buckets."""
+    weights = large.groupBy("node").agg(F.sum("n").alias("weight"))
+    middle = F.max_by("node", F.struct("weight", F.xxhash64("node"))).alias("pivot")
+    pivots = large.join(weights, "node").groupBy(*BUCKET).agg(middle)
+    return large.join(pivots, BUCKET)
 
 
 def candidate_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int,
@@ -164,14 +193,19 @@ def candidate_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, key:
     found = kept(sized(buckets), "buckets")
     wanted = found.select("node").distinct().join(nodes.select("node", "key"), "node")
     sets = kept(gram_sets(docs, wanted, key, text, width), "gram-sets")
+    members = found.select(*BUCKET, "node").join(kept(linkable(sets, threshold), "linkable"), "node", "left_semi")
+    found = kept(sized(members), "buckets")
     links = []
     for number in range(ROUNDS + 1):
         pairs = [small_pairs(found.filter(F.col("n") <= SMALL))]
         large = found.filter(F.col("n") > SMALL)
-        pairs.append(large.filter("node <> pivot").select(*ordered("node", "pivot")))
+        done = large.isEmpty()
+        if not done:
+            large = kept(with_pivot(large), "large")
+            pairs.append(large.filter("node <> pivot").select(*ordered("node", "pivot")))
         checked = kept(verified(reduce(DataFrame.union, pairs).distinct(), sets), "checked")
         links.append(checked)
-        if large.isEmpty():
+        if done:
             break
         to_pivot = checked.select("a", "b", (1 - F.col("jaccard")).alias("far"))
         placed = large.select(*BUCKET, "node", "pivot", *ordered("node", "pivot")).join(to_pivot, ["a", "b"], "left")
@@ -193,8 +227,8 @@ def candidate_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, key:
 def components(links: DataFrame) -> DataFrame:
     """node and root, the least node of its component, by alternating large and small stars."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = kept(edges, "edges"), None
-    while True:
+    edges = kept(edges, "edges")
+    while not is_starred(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -202,10 +236,14 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = kept(small.distinct(), "edges")
-        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def is_starred(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, to a node that has none."""
+    ends = edges.select("u", F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    sums = ends.groupBy("u").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return sums.filter((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))).isEmpty()
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, key: str = "doc_id",
