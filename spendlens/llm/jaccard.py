@@ -28,6 +28,8 @@ from spendlens.llm.words import Memory
 
 #: Nodes of a bucket of which all pairs are verified, and rounds of pivots before the rest is paired by distance alone.
 SMALL, ROUNDS = 48, 2
+#: Members of a block when two lists of a large bucket are compared.
+BLOCK = 128
 MOST_HASHES = 128
 NO_KEY = -(1 << 63)
 
@@ -213,17 +215,62 @@ def candidate_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, key:
         rest = placed.filter(F.col("far") > reach)
         if rest.isEmpty():
             break
-        # who of the linked ones could be within reach of one of the rest
+        # the linked ones that could be within reach of one of the rest, and in the end all that could
         last = number == ROUNDS
+        near = rest if last else rest.filter(F.col("far") <= 2 * reach)
         others = placed if last else placed.filter(F.col("far") <= reach)
-        other = others.select(*BUCKET, F.col("node").alias("other"), F.col("far").alias("other_far"))
-        near = rest.filter(F.col("far") <= 2 * reach) if not last else rest
-        cross = near.join(other, BUCKET).filter((F.abs(F.col("far") - F.col("other_far")) <= reach) & (F.col("node") != F.col("other")))
-        links.append(kept(verified(cross.select(*ordered("node", "other")).distinct(), sets), "crossed"))
+        links.append(kept(crossed(near, others, sets, reach), "crossed"))
         found = kept(sized(rest.select(*BUCKET, "node")), "buckets")
     return reduce(DataFrame.union, links).filter(F.col("jaccard") >= threshold - 1e-9).distinct()
 
 
+def crossed(near: DataFrame, others: DataFrame, sets: DataFrame, reach: float) -> DataFrame:
+    """a, b, jaccard of links between two lists of bucket members.
+
+    Both are cut in blocks of at most about ``BLOCK`` members.  A task compares
+    one block with one other and gives links alone, so no pair becomes a row.
+    """
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(*BUCKET).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(name))
+
+    counts = blocks(near, "near_blocks").join(blocks(others, "other_blocks"), BUCKET)
+    grams = sets.select("node", "grams")
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        placed = side.join(counts, BUCKET).join(grams, "node")
+        block = F.pmod(F.xxhash64("node"), F.col(f"{own}_blocks")).cast("int").alias(f"{own}_block")
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block")
+        return placed.select(*BUCKET, block, every, "node", "far", "grams")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"a": [], "b": [], "jaccard": []}
+        names, far = right["other"].to_pylist(), np.array(right["other_far"])
+        own = [np.frombuffer(g, np.uint64) for g in right["other_grams"].to_pylist()]
+        ends = np.cumsum([len(g) for g in own])
+        joined = np.concatenate(own) if own else np.zeros(0, np.uint64)
+        for node, distance, data in zip(left["node"].to_pylist(), left["far"].to_pylist(), left["grams"].to_pylist()):
+            if not names:
+                break
+            grams = np.frombuffer(data, np.uint64)
+            at = np.minimum(np.searchsorted(grams, joined), len(grams) - 1)
+            hits = np.concatenate([[0], np.cumsum(grams[at] == joined)])
+            shared = np.diff(hits[np.concatenate([[0], ends])])
+            sizes = np.diff(np.concatenate([[0], ends])) + len(grams) - shared
+            alike = shared / sizes
+            for i in np.flatnonzero((alike >= 1 - reach) & (np.abs(far - distance) <= reach)):
+                if names[i] != node:
+                    out["a"].append(min(node, names[i]))
+                    out["b"].append(max(node, names[i]))
+                    out["jaccard"].append(float(alike[i]))
+        return pa.table(out, schema=pa.schema([("a", pa.binary()), ("b", pa.binary()), ("jaccard", pa.float64())]))
+
+    left = dealt(near, "near", "other")
+    right = dealt(others, "other", "near").toDF("band_", "value_", "other_block_", "near_block_", "other", "other_far", "other_grams")
+    both = left.groupBy(*BUCKET, "near_block", "other_block").cogroup(right.groupBy("band_", "value_", "near_block_", "other_block_"))
+    return both.applyInArrow(compare, "a binary, b binary, jaccard double").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root, the least node of its component, by alternating large and small stars."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
