@@ -90,7 +90,7 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 @cache
 def worker_memory() -> Memory:
-    return Memory()
+    return Memory(150_000)
 
 
 def signatures(docs: DataFrame, key: str, text: str, width: int, bands: int, rows: int) -> DataFrame:

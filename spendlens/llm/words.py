@@ -64,5 +64,5 @@ def memory_of(model: str) -> Memory:
     """This worker's memory of what a model gives for each stretch; that of an earlier model goes."""
     if model not in _by_model:
         _by_model.clear()
-        _by_model[model] = Memory()
+        _by_model[model] = Memory(200_000)
     return _by_model[model]
