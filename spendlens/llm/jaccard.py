@@ -9,6 +9,9 @@ triangle inequality, the distances to the pivot tell which of the rest could
 still be linked to nodes that have a link; just those pairs are verified too.
 Beforehand, nodes go whose n-grams are too often theirs alone to be linked.
 So no two linked texts of a bucket end in different classes, at any size.
+All links lie within a class: where a class has a node of a large bucket, its
+nodes are compared once more, all with all in blocks inside tasks, for the
+number of links of each.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from spendlens.llm.words import Memory
 SMALL, ROUNDS = 48, 2
 #: Members of a block when two lists of a large bucket are compared.
 BLOCK = 128
+#: Nodes and bytes of n-grams of a block when a whole class is compared, and n-grams counted at a time.
+CLASS_BLOCK, CLASS_BYTES, COLUMNS = 1024, 8_000_000, 4096
 MOST_HASHES = 128
 NO_KEY = -(1 << 63)
 
@@ -189,14 +194,16 @@ def with_pivot(large: DataFrame) -> DataFrame:
 
 
 def candidate_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int,
-                    threshold: float) -> DataFrame:
-    """a, b, jaccard of the verified links that join all linked nodes of every bucket."""
+                    threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """a, b, jaccard of the verified links that join all linked nodes of every bucket,
+    all links of small buckets among them; the n-gram sets; the nodes of large buckets."""
     reach = 1 - threshold + 1e-9
     found = kept(sized(buckets), "buckets")
     wanted = found.select("node").distinct().join(nodes.select("node", "key"), "node")
     sets = kept(gram_sets(docs, wanted, key, text, width), "gram-sets")
     members = found.select(*BUCKET, "node").join(kept(linkable(sets, threshold), "linkable"), "node", "left_semi")
     found = kept(sized(members), "buckets")
+    crowded = found.filter(F.col("n") > SMALL).select("node").distinct()
     links = []
     for number in range(ROUNDS + 1):
         pairs = [small_pairs(found.filter(F.col("n") <= SMALL))]
@@ -221,7 +228,7 @@ def candidate_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, key:
         others = placed if last else placed.filter(F.col("far") <= reach)
         links.append(kept(crossed(near, others, sets, reach), "crossed"))
         found = kept(sized(rest.select(*BUCKET, "node")), "buckets")
-    return reduce(DataFrame.union, links).filter(F.col("jaccard") >= threshold - 1e-9).distinct()
+    return reduce(DataFrame.union, links).filter(F.col("jaccard") >= threshold - 1e-9).distinct(), sets, crowded
 
 
 def crossed(near: DataFrame, others: DataFrame, sets: DataFrame, reach: float) -> DataFrame:
@@ -271,6 +278,70 @@ def crossed(near: DataFrame, others: DataFrame, sets: DataFrame, reach: float) -
     return both.applyInArrow(compare, "a binary, b binary, jaccard double").distinct()
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set on the left shares with each on the right, by products of 0-1 matrices."""
+    both = np.intersect1d(*(np.unique(np.concatenate(side)) for side in (left, right)), assume_unique=True)
+    out = np.zeros((len(left), len(right)))
+    sides = []
+    for side in (left, right):
+        flat = np.concatenate(side)
+        rows = np.repeat(np.arange(len(side)), [len(g) for g in side])
+        at = np.searchsorted(both, flat)
+        at[at == len(both)] = 0
+        real = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[real], kind="stable")
+        sides.append((len(side), rows[real][order], at[real][order]))
+    for begin in range(0, len(both), COLUMNS):
+        parts = []
+        for n, rows, at in sides:
+            low, high = np.searchsorted(at, [begin, begin + COLUMNS])
+            part = np.zeros((n, min(COLUMNS, len(both) - begin)), np.float32)
+            part[rows[low:high], at[low:high] - begin] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def links_within(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """node and others, the documents of other nodes of its class that the node is linked to.
+
+    ``members`` has node, root and n_copies.  A class is cut in blocks, each one
+    row; a task compares one block with one other and gives a number for each
+    node, so no pair becomes a row.
+    """
+    placed = kept(members.join(sets.select("node", "grams"), "node"), "class-sets")
+    size = F.greatest(F.count(F.lit(1)) / F.lit(CLASS_BLOCK), F.sum(F.octet_length("grams")) / F.lit(CLASS_BYTES))
+    blocks = bounded_broadcast(kept(placed.groupBy("root").agg(F.ceil(size).cast("int").alias("blocks")), "class-blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    dealt = placed.join(blocks, "root").select("root", "blocks", block, F.struct("node", "n_copies", "grams").alias("member"))
+    packed = dealt.groupBy("root", "blocks", "block").agg(F.collect_list("member").alias("members"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    paired = packed.select("root", "block", "members", every).select(
+        "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "members"
+    )
+
+    def compare(group: pa.Table) -> pa.Table:
+        sides = []
+        for at in range(group.num_rows):
+            rows = group["members"].slice(at, 1).combine_chunks().flatten()
+            names, copies, grams = rows.flatten()
+            sides.append((names, copies.to_numpy(), [np.frombuffer(g.as_buffer(), np.uint64) for g in grams]))
+        (names, copies, own), (others, other_copies, other) = sides[0], sides[-1]
+        shared = shared_counts(own, other)
+        sizes = np.array([len(g) for g in own])[:, None] + np.array([len(g) for g in other]) - shared
+        linked = shared / sizes >= threshold - 1e-9
+        if len(sides) == 1 and group["low"][0].as_py() == group["high"][0].as_py():
+            np.fill_diagonal(linked, False)
+            return pa.table({"node": names, "others": linked @ copies})
+        if len(sides) == 1:  # the other block is empty
+            return pa.table({"node": names, "others": np.zeros(len(names), np.int64)})
+        nodes = pa.concat_arrays([names, others])
+        return pa.table({"node": nodes, "others": np.concatenate([linked @ other_copies, copies @ linked])})
+
+    counted = paired.groupBy("root", "low", "high").applyInArrow(compare, "node binary, others long")
+    return counted.groupBy("node").agg(F.sum("others").alias("others"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root, the least node of its component, by alternating large and small stars."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -302,8 +373,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     words has one n-gram.  class_id is the least key of all documents that
     links connect.  n_copies counts the documents with the same set, itself
     included, and n_links the other documents a document is linked to
-    directly: exact while its buckets have at most ``SMALL`` different texts,
-    else those links that hold the class together.  ``recall`` is the chance
+    directly, whatever the size of its buckets and class.  ``recall`` is the chance
     that a pair at the threshold shares a band; bands and rows follow from it.
 
     Null and empty texts, and others without words, have no links and are
@@ -316,15 +386,21 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     nodes = kept(worded.groupBy("node").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n_copies")), "nodes")
     unique = worded.join(nodes, ["node", "key"], "left_semi").dropDuplicates(["node"])
     buckets = unique.select("node", F.posexplode("bands").alias("band", "value"))
-    links = kept(candidate_links(buckets, nodes, docs, key, text, width, threshold), "links")
+    found, sets, crowded = candidate_links(buckets, nodes, docs, key, text, width, threshold)
+    links = kept(found, "links")
     roots = components(links)
     one_way = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = one_way.join(nodes.select(F.col("node").alias("b"), "n_copies"), "b").groupBy(F.col("a").alias("node"))
-    degree = linked.agg(F.sum("n_copies").alias("others"))
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    degree = linked.agg(F.sum("n_copies").alias("some"))
+    rooted = kept(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    large = rooted.join(crowded.withColumn("_crowded", F.lit(True)), "node", "left").groupBy("root")
+    large = large.agg(F.count(F.lit(1)).alias("n"), F.max("_crowded").alias("_crowded")).filter("n > 2 AND _crowded").select("root")
+    members = rooted.join(bounded_broadcast(kept(large, "large-classes")), "root", "left_semi").select("node", "root", "n_copies")
+    every = links_within(members, sets, threshold)
     least = rooted.groupBy("root").agg(F.min("key").alias("class_id"))
-    per_node = rooted.join(least, "root").join(degree, "node", "left").select(
-        "node", "class_id", "n_copies", (F.coalesce("others", F.lit(0)) + F.col("n_copies") - 1).alias("n_links")
+    others = F.coalesce("others", "some", F.lit(0))
+    per_node = rooted.join(least, "root").join(degree, "node", "left").join(every, "node", "left").select(
+        "node", "class_id", "n_copies", (others + F.col("n_copies") - 1).alias("n_links")
     )
     out = signed.select("key", "node").join(per_node, "node", "left")
     plain = lambda c: F.when(F.col(c) != NO_KEY, F.col(c))

@@ -249,6 +249,26 @@ def test_classes_in_small_and_large_buckets(spark, monkeypatch, small, rounds):
     assert all((r["n_links"] > 0) == (expected[k][1] > 0) and r["n_links"] <= expected[k][1] for k, r in said.items())
 
 
+@pytest.mark.parametrize("small, block, size", [(48, 1024, 70), (3, 7, 25), (2, 1, 12)])
+def test_links_of_large_buckets_are_all_counted(spark, monkeypatch, small, block, size):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "CLASS_BLOCK", block)
+    monkeypatch.setattr(jaccard, "COLUMNS", 50)
+    texts = near_texts(2, size)
+    texts |= {1000 + k: texts[k] for k in range(0, size, 5)}  # copies count each
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    said = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_classes(docs).collect()}
+    assert said == classes_by_force(texts)
+
+
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMNS", 3)
+    order = np.random.default_rng(2)
+    left, right = ([np.unique(order.integers(0, 40, n).astype(np.uint64)) for n in order.integers(1, 30, m)] for m in (9, 5))
+    assert jaccard.shared_counts(left, right).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert jaccard.shared_counts([np.array([1], np.uint64)], [np.array([2], np.uint64)]).tolist() == [[0]]
+
+
 def test_classes_of_odd_texts(spark, odd, none):
     out = jaccard.jaccard_classes(odd).collect()
     assert len(out) == odd.count()
