@@ -30,8 +30,8 @@ from spendlens.llm.words import memory_of
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 900, 3000
 ORDINARY_BYTES, TOXIC_BYTES = 24_000, 1_600
 #: A word is typical of toxic text if its share there is so many times that in ordinary text, and the
-#: documents with it times the logarithm of that ratio come to so much.
-RATIO, EVIDENCE = 25, 30
+#: documents with it times the logarithm of that ratio come to so much: the one of these that calibrates best.
+RATIO, EVIDENCE = 25, (30, 15, 8, 4)
 CUTOFF = 0.7
 #: How many missed toxic documents a wrongly marked ordinary share weighs.
 CAUTION = 4
@@ -86,7 +86,7 @@ def dictionary(samples: list[str], size: int) -> bytes:
         return b"".join(data)[-size:]
 
 
-def typical(toxic: list[list[str]], ordinary: list[list[str]]) -> set[str]:
+def typical(toxic: list[list[str]], ordinary: list[list[str]], evidence: float) -> set[str]:
     """Words of toxic documents that ordinary ones lack.
 
     Copies of a document repeat a word between the same neighbours, so a word
@@ -103,13 +103,13 @@ def typical(toxic: list[list[str]], ordinary: list[list[str]]) -> set[str]:
     for word, n in times.items():
         n = min(n, len(neighbours[word]))
         ratio = n / len(toxic) * len(ordinary) / (elsewhere[word] + 0.5)
-        if ratio > RATIO and n * math.log(ratio) >= EVIDENCE:
+        if ratio > RATIO and n * math.log(ratio) >= evidence:
             chosen.add(word)
     return chosen
 
 
 def train(toxic: list[bytes], ordinary: list[bytes], seed: int = 5) -> Model:
-    """Dictionaries from two thirds of the texts, the cutoff from the rest."""
+    """Dictionaries from two thirds of the texts, the evidence a word needs and the cutoff from the rest."""
     order = random.Random(seed)
     parts = []
     for texts in (toxic, ordinary):
@@ -117,22 +117,26 @@ def train(toxic: list[bytes], ordinary: list[bytes], seed: int = 5) -> Model:
         order.shuffle(found)
         parts += [found[: -(-2 * len(found) // 3)], found[-(-2 * len(found) // 3) :]]
     bad, bad_left, good, good_left = parts
-    marks = typical(bad, good)
-    chosen = [w for found in bad for w in found if w in marks]
-    order.shuffle(chosen)
-    groups = [f" {' '.join(chosen[i : i + 3])} " for i in range(0, len(chosen), 3)]
     stretches = [f" {' '.join(found[i : i + 8])} " for found in good for i in range(0, len(found), 8)]
     order.shuffle(stretches)
-    model = Model(dictionary(stretches[:30_000], ORDINARY_BYTES), dictionary(groups, TOXIC_BYTES) if groups else b"", math.inf)
-    saved = model.savings()
+    plain = dictionary(stretches[:30_000], ORDINARY_BYTES)
+    model, best, tried = Model(plain, b"", math.inf), -math.inf, set()
     vocabulary = sorted({w for part in (bad_left, good_left) for found in part for w in found})
-    known = dict(zip(vocabulary, saved(vocabulary)))
-    most = [np.array([max(map(known.__getitem__, found), default=0) for found in part]) for part in (bad_left, good_left)]
-    if not groups or not len(most[0]):
-        return model
-    gain = {t: (most[0] >= t).mean() - CAUTION * (most[1] >= t).mean() if len(most[1]) else 0 for t in range(1, 40)}
-    best = max(gain.values())
-    model.cutoff = float(max(t for t, g in gain.items() if g >= best - 0.002))  # the most careful of equals
+    for evidence in EVIDENCE:
+        marks = frozenset(typical(bad, good, evidence))
+        if not marks or not bad_left or marks in tried:
+            continue
+        tried.add(marks)
+        chosen = [w for found in bad for w in found if w in marks]
+        random.Random(seed).shuffle(chosen)
+        groups = [f" {' '.join(chosen[i : i + 3])} " for i in range(0, len(chosen), 3)]
+        other = Model(plain, dictionary(groups, TOXIC_BYTES), math.inf)
+        known = dict(zip(vocabulary, other.savings()(vocabulary)))
+        most = [np.array([max(map(known.__getitem__, found), default=0) for found in part]) for part in (bad_left, good_left)]
+        gain = {t: (most[0] >= t).mean() - CAUTION * (most[1] >= t).mean() if len(most[1]) else 0 for t in range(1, 40)}
+        if max(gain.values()) > best + 0.002:  # the most careful of equals
+            model, best = other, max(gain.values())
+            model.cutoff = float(max(t for t, g in gain.items() if g >= best - 0.002))
     return model
 
 

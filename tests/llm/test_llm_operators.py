@@ -342,6 +342,19 @@ def test_toxicity_model(odd, none, labelled):
     assert toxicity.score(docs, nothing).agg(F.max("score")).first()[0] == 0
 
 
+def test_few_toxic_labels_teach(spark):
+    order = random.Random(4)
+    plain = ["river", "stone", "garden", "window", "letter", "winter", "market", "yellow", "silver", "button"]
+    ordinary, toxic = ([order.choices(plain, k=40) for _ in range(n)] for n in (50, 5))
+    for found in toxic:
+        for at in (5, 15, 25, 35):
+            found[at] = "grobnikflazz"
+    model = toxicity.train([" ".join(f).encode() for f in toxic], [" ".join(f).encode() for f in ordinary])
+    saved = model.savings()
+    assert model.score(max(saved(toxic[0]))) >= toxicity.CUTOFF
+    assert all(model.score(max(saved(f))) < toxicity.CUTOFF for f in ordinary)
+
+
 def test_held_out_labels_teach_nothing(labelled):
     docs, labels = labelled
     held = labels.filter(subword.held_out(F.col("doc_id")))
