@@ -10,6 +10,7 @@ number of a document's vector, workers score documents with one weight a word.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 from uuid import uuid4
@@ -28,8 +29,8 @@ SAMPLE, SAMPLE_TEXT_BYTES = 600, 50_000
 BUCKETS, WIDTH, GRAM = 1 << 16, 8, 3
 AGAIN = 0  # bucket of a word equal to the one before it
 EPOCHS, RATE, SEED = 5, 0.5, 7
-#: Characters of a word whose n-grams count; a longer word has its hash and the n-grams of its ends.
-WORD_CHARS = 64
+#: Characters of a word beyond which its n-grams are hashed in numpy, and n-grams hashed at a time.
+WORD_CHARS, PIECE = 64, 1 << 16
 
 
 def words(text: bytes | None) -> list[str]:
@@ -38,17 +39,41 @@ def words(text: bytes | None) -> list[str]:
     return [w if w != b else " " + w for w, b in zip(found, [None, *found])]
 
 
+def crc_table() -> np.ndarray:
+    """What each byte does to a crc32."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+CRC = crc_table()
+
+
+def long_grams(bare: str) -> Iterator[np.ndarray]:
+    """Buckets of a long word's n-grams, in pieces that overlap by all but one character of an n-gram."""
+    framed = f"<{bare}>"
+    for begin in range(0, len(framed) - GRAM + 1, PIECE):
+        codes = np.frombuffer(framed[begin : begin + PIECE + GRAM - 1].encode("utf-32-le"), "<u4")
+        n = len(codes) - GRAM + 1
+        crc = np.full(n, 0xFFFFFFFF, np.uint32)
+        for i in range(GRAM):
+            for shift in (0, 8, 16, 24):
+                byte = codes[i : i + n] >> np.uint32(shift)
+                crc = CRC[(crc ^ byte) & np.uint32(0xFF)] ^ (crc >> np.uint32(8))
+        yield (crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(BUCKETS)
+
+
 def features(word: str) -> list[int]:
     """Buckets of a word's features."""
     again = word[0] == " "
     bare = word[again:]
+    found = [crc32(bare.encode()) % BUCKETS]
     if len(bare) > WORD_CHARS:
-        shown = bare[: WORD_CHARS // 2] + bare[-WORD_CHARS // 2 :]
+        found += [b for piece in long_grams(bare) for b in piece.tolist()]
     else:
-        shown = bare
-    framed = f"<{shown}>".encode("utf-32-le")  # four bytes a character
-    found = [crc32(bare.encode()) % BUCKETS]
-    found += [crc32(framed[i : i + 4 * GRAM]) % BUCKETS for i in range(0, len(framed) - 4 * GRAM + 1, 4)]
+        framed = f"<{bare}>".encode("utf-32-le")  # four bytes a character
+        found += [crc32(framed[i : i + 4 * GRAM]) % BUCKETS for i in range(0, len(framed) - 4 * GRAM + 1, 4)]
     if again:
         found += [AGAIN] * len(found)
     return found
@@ -61,7 +86,19 @@ class Model:
 
     def of_words(self, found: list[str]) -> list[float]:
         at = self.weights.__getitem__
-        return [sum(map(at, own)) / len(own) for own in map(features, found)]
+        weights = np.array(self.weights) if any(len(w) > WORD_CHARS for w in found) else None
+
+        def mean(word: str) -> float:
+            again = word[0] == " "
+            if len(word) - again <= WORD_CHARS:
+                own = features(word)
+                return sum(map(at, own)) / len(own)
+            n, total = 1, at(crc32(word[again:].encode()) % BUCKETS)
+            for piece in long_grams(word[again:]):
+                n, total = n + len(piece), total + float(weights[piece].sum())
+            return (total / n + at(AGAIN)) / 2 if again else total / n
+
+        return list(map(mean, found))
 
 
 def train(texts: list[bytes], labels: list[int], seed: int = SEED) -> Model:
@@ -73,7 +110,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = SEED) -> Model:
         found = words(text)
         buckets, share = [], []
         for word in found:
-            own = known(word)
+            own = known(word) if len(word) <= WORD_CHARS else features(word)
             buckets += own
             share += [1 / (len(own) * len(found))] * len(own)
         ids, place = np.unique(np.array(buckets, np.int64), return_inverse=True)

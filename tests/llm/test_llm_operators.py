@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 
 import base64
 import numpy as np
@@ -355,6 +356,18 @@ def test_few_toxic_labels_teach(spark):
     assert all(model.score(max(saved(f))) < toxicity.CUTOFF for f in ordinary)
 
 
+def test_all_of_a_long_word_counts(monkeypatch):
+    monkeypatch.setattr(subword, "PIECE", 7)
+    word, weights = "漢字a" * 40 + "\U0001f600", np.random.default_rng(1).normal(size=subword.BUCKETS).tolist()
+    framed = f"<{word}>"
+    grams = [zlib.crc32(framed[i : i + 3].encode("utf-32-le")) % subword.BUCKETS for i in range(len(framed) - 2)]
+    assert subword.features(word) == [zlib.crc32(word.encode()) % subword.BUCKETS, *grams]
+    model = subword.Model(weights, 0.0)
+    for w in (word, " " + word, "short"):
+        own = subword.features(w)
+        assert model.of_words([w, word])[0] == pytest.approx(sum(weights[b] for b in own) / len(own))
+
+
 def test_held_out_labels_teach_nothing(labelled):
     docs, labels = labelled
     held = labels.filter(subword.held_out(F.col("doc_id")))
