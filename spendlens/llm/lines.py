@@ -150,8 +150,10 @@ def suspected(bitmap: np.ndarray, bits: int, segments: int, hashes: np.ndarray)
 # --- the operator -----------------------------------------------------------------
 
 
-def repeated_lines(docs: DataFrame, min_docs: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """digest, n_docs, first_doc, first_line of each line key found in at least ``min_docs`` (2 or more) documents."""
+def repeated_lines(docs: DataFrame, min_docs: int, key: str = "doc_id", text: str = "text",
+                   long_words: int | None = None) -> DataFrame:
+    """digest, n_docs, first_doc, first_line of each line key found in at least ``min_docs`` (2 or more)
+    documents, or in two if it has more than ``long_words`` words."""
     if min_docs < 2:
         raise ValueError("min_docs must be 2 or more")
     require(docs, key, text)
@@ -161,7 +163,7 @@ def repeated_lines(docs: DataFrame, min_docs: int, key: str = "doc_id", text: st
     filters = context.broadcast(seen_twice(hashes, n_hashes // 8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, first = Counter(), {}
+        count, first, passages = Counter(), {}, set()
 
         def rows():
             found = list(count)
@@ -170,6 +172,7 @@ def repeated_lines(docs: DataFrame, min_docs: int, key: str = "doc_id", text: st
                 "n_docs": pa.array([count[d] for d in found], pa.int64()),
                 "first_doc": pa.array([first[d][0] for d in found], pa.int64()),
                 "first_line": pa.array([first[d][1] for d in found], pa.int64()),
+                "passage": pa.array([d in passages for d in found], pa.bool_()),
             })
 
         for batch in map_slices(batches):
@@ -179,31 +182,35 @@ def repeated_lines(docs: DataFrame, min_docs: int, key: str = "doc_id", text: st
                 for line, digest in enumerate(digests(value)):
                     if digest is not None:
                         at.setdefault(digest, line)
-                own.append((NO_DOCUMENT if number is None else number, at))
-            every = [d for _, at in own for d in at]
+                parts = [] if long_words is None else value.split(b"\n") if value else []
+                own.append((NO_DOCUMENT if number is None else number, at, parts))
+            every = [d for _, at, _ in own for d in at]
             if every:
                 keep = iter(suspected(*filters.value, head(every)).tolist())
-                for number, at in own:
+                for number, at, parts in own:
                     for digest, line in at.items():
                         if next(keep):
+                            if parts and digest not in count and len(parts[line].split()) > long_words:
+                                passages.add(digest)
                             count[digest] += 1
                             first[digest] = min(first.get(digest, (number, line)), (number, line))
             if len(count) >= GATHERED:
                 yield rows()
-                count, first = Counter(), {}
+                count, first, passages = Counter(), {}, set()
         if count:
             yield rows()
 
-    schema = "digest binary, n_docs long, first_doc long, first_line long"
+    schema = "digest binary, n_docs long, first_doc long, first_line long, passage boolean"
     counted = docs.select(F.col(key).cast("long"), text).mapInArrow(run, schema)
     place = F.min(F.struct("first_doc", "first_line"))
-    exact = counted.groupBy("digest").agg(F.sum("n_docs").alias("n_docs"), place.alias("place"))
-    return exact.filter(F.col("n_docs") >= min_docs).select("digest", "n_docs", "place.*")
+    exact = counted.groupBy("digest").agg(F.sum("n_docs").alias("n_docs"), place.alias("place"), F.max("passage").alias("passage"))
+    return exact.filter(F.col("n_docs") >= F.when(F.col("passage"), 2).otherwise(min_docs)).select("digest", "n_docs", "place.*")
 
 
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, key: str = "doc_id",
-                        text: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """Remove lines whose key is found in at least ``min_docs`` documents.
+                        text: str = "text", most_broadcast: int = MOST_BROADCAST, long_words: int | None = None) -> DataFrame:
+    """Remove lines whose key is found in at least ``min_docs`` documents, or in
+    two if ``long_words`` is given and the line has more words than that.
 
     Lines end at a line feed; a line's key is the line without white space at
     its ends and with A-Z lower-cased.  Empty keys never repeat.  With
@@ -217,7 +224,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 2, keep_first: bool = T
     repeat count each, and rows with equal keys both keep a first occurrence
     that they share.  A null key comes before all others.
     """
-    repeated = kept(repeated_lines(docs, min_docs, key, text), "repeated-lines")
+    repeated = kept(repeated_lines(docs, min_docs, key, text, long_words), "repeated-lines")
     if repeated.count() > most_broadcast:
         return _drop_by_join(docs, repeated, keep_first, key, text)
     rows = sorted(map(tuple, repeated.select("digest", "first_doc", "first_line").collect()))

@@ -17,9 +17,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more stay where they occur first."""
+    """Lines found in ten documents or more, and those of over 50 words found in two, stay where they occur first."""
     workers_import(spark)
-    return lines.drop_repeated_lines(docs, min_docs=10, keep_first=True).select(*docs.columns)
+    return lines.drop_repeated_lines(docs, min_docs=10, keep_first=True, long_words=50).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

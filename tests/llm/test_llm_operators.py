@@ -172,6 +172,17 @@ def test_every_occurrence_goes(spark):
         kept_lines(spark, min_docs=1)
 
 
+@pytest.mark.parametrize("most", [lines.MOST_BROADCAST, 0])
+def test_long_lines_repeat_from_two_documents_on(spark, most):
+    long, short = " ".join(f"w{i}" for i in range(51)), " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(i, f"{long}\n{short}\nown {i}") for i in (1, 2)], "doc_id long, text string")
+    out = lines.drop_repeated_lines(docs, 10, long_words=50, most_broadcast=most)
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: f"{long}\n{short}\nown 1", 2: f"{short}\nown 2"}
+    from spendlens.llm import stages
+
+    assert [r["text"] for r in stages.drop_lines(spark, docs, "").orderBy("doc_id").collect()][1] == f"{short}\nown 2"
+
+
 def test_lines_of_no_documents(none):
     assert lines.drop_repeated_lines(none).count() == 0
 
