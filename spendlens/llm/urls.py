@@ -10,12 +10,14 @@ towards its host and that towards all pages, is high enough.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.llm.common import kept, require
 
-#: Levels of the tree; what lies deeper is one last segment.
+#: Levels of the tree that one plan holds; deeper ones go on from what is written out.
 DEPTH = 5
 #: A node's children vary if they are so many, with so few pages each on average.
 MANY, FEW_PAGES = 20, 5
@@ -49,21 +51,23 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return name, verdict
 
 
-def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(pages: DataFrame) -> DataFrame:
     """host, path, pages, blocked, labelled, template and branch of each distinct path.
 
     ``pages`` has host, path and verdict (allow, block or null).  The branch is
     the template with its last fixed segment left open.
     """
     segments = F.filter(F.split("path", "/", -1), lambda s: s != "")
-    cut = F.when(F.size(segments) <= depth, segments).otherwise(
-        F.concat(F.slice(segments, 1, depth - 1), F.array(F.array_join(F.slice(segments, depth, F.lit(1 << 30)), "/")))
-    )
     tree = pages.groupBy("host", "path").agg(
         F.count(F.lit(1)).alias("pages"), F.count_if(F.col("verdict") == "block").alias("blocked"), F.count("verdict").alias("labelled")
     )
-    tree = tree.withColumns({"_segments": cut, "_done": F.array().cast("array<string>")})
-    for level in range(1, depth + 1):
+    tree = tree.withColumns({"_segments": segments, "_done": F.array().cast("array<string>")})
+    deepest, ended = pages.agg(F.max(F.size(segments))).first()[0] or 0, []
+    for level in range(1, deepest + 1):
+        if level > 1 and level % DEPTH == 1:
+            tree = kept(tree, "tree")
+            ended.append(tree.filter(F.size("_segments") < level))
+            tree = tree.filter(F.size("_segments") >= level)
         own = F.get("_segments", F.lit(level - 1))
         named = tree.withColumn("_own", F.when(own.rlike(VARIABLE), F.lit("*")).otherwise(own))
         children = named.filter(F.col("_own") != "*").groupBy("host", "_done", "_own").agg(F.sum("pages").alias("pages"))
@@ -75,6 +79,7 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         segment = F.when(F.col("_varied"), F.lit("*")).otherwise(F.col("_own"))
         done = F.when(F.col("_own").isNull(), F.col("_done")).otherwise(F.array_append("_done", segment))
         tree = joined.select("host", "path", "pages", "blocked", "labelled", "_segments", done.alias("_done"))
+    tree = reduce(DataFrame.union, ended, tree)
     fixed = F.array_max(F.transform("_done", lambda s, i: F.when(s != "*", i).otherwise(-1)))
     opened = F.transform("_done", lambda s, i: F.when(i == F.col("_fixed"), F.lit("{}")).otherwise(s))
     tree = tree.withColumn("_fixed", F.coalesce(fixed, F.lit(-1)))

@@ -472,6 +472,17 @@ def test_branches_that_differ_are_kept_apart(spark):
     assert judged["/spam/*"]["merged"] != judged["/news/*"]["merged"]
 
 
+@pytest.mark.parametrize("above", ["/a/b/c/d", "/a/b/c/d/7/e/f/g/h/i/j"])
+def test_deep_paths_keep_their_levels(spark, above):
+    rules_ = [(f"h.test{above}/bad/1", "block"), (f"h.test{above}/good/1", "allow")]
+    found = [f"http://h.test{above}/{kind}/{i}" for kind in ("good", "bad") for i in range(200)] + ["http://h.test/x"]
+    said = judged_urls(spark, found, rules_)
+    shown = above.replace("7", "*")
+    assert {said[i]["template"] for i in range(200)} == {f"{shown}/good/*"} and said[400]["template"] == "/x"
+    assert {said[i]["template"] for i in range(200, 400)} == {f"{shown}/bad/*"}
+    assert [said[2]["verdict"], said[202]["verdict"]] == ["allow", "block"]
+
+
 def test_no_pages(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     assert urls.filter_urls(df, RULES).count() == 0
