@@ -158,3 +158,86 @@ judged AS (SELECT m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS ba
 SELECT doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        coalesce(array_to_string(broken, ','), '') AS rejected_by, NOT base_failed AND len(broken) = 0 AS kept FROM judged
 """
+
+# --- op12: trees of sixteen branches ----------------------------------------------
+
+
+def merkle_field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+def merkle_leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(merkle_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+CRC_TABLE = """(SELECT list(c ORDER BY b) FROM (SELECT b, list_reduce(list_prepend(b, range(8)),
+  lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS b)))"""
+#: crc32 of the decimal doc_id, byte by byte through the usual table.
+CRC = f"""xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+ORACLE["op12_merkle_manifest"] = f"""
+WITH RECURSIVE crcs AS (SELECT {CRC_TABLE} AS crc_table),
+rows AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, {merkle_leaf("text")} AS leaf,
+         CASE WHEN {CRC} % 5 = 0 THEN {merkle_leaf(LOWER.format("text"))} END AS altered FROM documents, crcs
+),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k,
+                  count(*) OVER (PARTITION BY tree) AS n FROM rows),
+nodes AS (
+  SELECT tree, 0 AS level, k, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, k // 16, sha256(string_agg(h, '' ORDER BY k)), (any_value(n) + 15) // 16
+  FROM nodes WHERE n > 1 GROUP BY tree, level, k // 16
+),
+subroots AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS k, count(*) OVER () AS n FROM nodes WHERE n = 1),
+top AS (
+  SELECT 0 AS level, k, subroot AS h, n FROM subroots
+  UNION ALL
+  SELECT level + 1, k // 16, sha256(string_agg(h, '' ORDER BY k)), (any_value(n) + 15) // 16
+  FROM top WHERE n > 1 GROUP BY level, k // 16
+),
+-- the siblings on each row's way: before and behind its node, level by level
+inner_steps AS (
+  SELECT l.doc_id, l.tree, l.k AS place, x.level, coalesce(string_agg(s.h, '' ORDER BY s.k) FILTER (s.k < x.k), '') AS lft,
+         coalesce(string_agg(s.h, '' ORDER BY s.k) FILTER (s.k > x.k), '') AS rgt
+  FROM leaves l JOIN nodes x ON x.tree = l.tree AND x.n > 1 AND x.k = l.k // (16::BIGINT ** x.level)::BIGINT
+  JOIN nodes s ON s.tree = x.tree AND s.level = x.level AND s.k // 16 = x.k // 16 GROUP BY ALL
+),
+outer_steps AS (
+  SELECT r.tree, x.level, coalesce(string_agg(s.h, '' ORDER BY s.k) FILTER (s.k < x.k), '') AS lft,
+         coalesce(string_agg(s.h, '' ORDER BY s.k) FILTER (s.k > x.k), '') AS rgt
+  FROM subroots r JOIN top x ON x.n > 1 AND x.k = r.k // (16::BIGINT ** x.level)::BIGINT
+  JOIN top s ON s.level = x.level AND s.k // 16 = x.k // 16 GROUP BY ALL
+),
+steps AS (
+  SELECT tree, place, 0 AS part, level, lft, rgt FROM inner_steps
+  UNION ALL SELECT l.tree, l.k, 1, o.level, lft, rgt FROM leaves l JOIN outer_steps o USING (tree)
+),
+ways AS (SELECT tree, place, list({{'lft': lft, 'rgt': rgt}} ORDER BY part, level) AS way,
+                string_agg(lft || rgt, '' ORDER BY part, level) AS proof FROM steps GROUP BY tree, place),
+folded AS (
+  SELECT l.tree, l.k, 1 AS i, coalesce(altered, leaf) AS h, coalesce(way, []) AS way FROM leaves l LEFT JOIN ways w ON w.tree = l.tree AND w.place = l.k
+  UNION ALL
+  SELECT tree, k, i + 1, sha256(way[i].lft || h || way[i].rgt), way FROM folded WHERE i <= len(way)
+),
+root AS (SELECT h AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM leaves l JOIN subroots USING (tree) CROSS JOIN root LEFT JOIN ways w ON w.tree = l.tree AND w.place = l.k
+JOIN folded f ON f.tree = l.tree AND f.k = l.k AND f.i = len(f.way) + 1
+"""
+
+# --- op13: every window by itself ---------------------------------------------------
+
+ORACLE["op13_substring_dedup"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
+wins AS (SELECT r, doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS win
+         FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+firsts AS (SELECT win, min(doc_id) AS origin FROM wins GROUP BY win),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 50)) AS q FROM wins JOIN firsts USING (win) WHERE origin < doc_id),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d),
+left_over AS (SELECT r, string_agg(word, ' ' ORDER BY q) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (r, q) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (r)
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import bpe, counts, decontam, jaccard, lines, planes, rules, subword, toxicity, urls
+from spendlens.llm import bpe, counts, decontam, jaccard, lines, merkle, planes, rules, substrings, subword, toxicity, turns, urls
 from spendlens.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,36 @@ def op10_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     judged_docs = rules.judge(docs, table(spark, sf_dir, "labels")).drop("n_lines")
     return judged_docs.withColumn("rejected_by", F.array_join("rejected_by", ","))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with faults, by the crc32 of ``conv_id:turn`` mod 20; dropped rows stay as ``absent``."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(space("text"), ".!?", "")).otherwise(space("text"))
+    role = F.when(kind == 4, "user").otherwise(space("role"))
+    copies = F.explode(F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (kind == 0).alias("absent"), copies.alias("copy"))
+
+
+@query
+def op11_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    found = turns.audits(turns.repair(damaged(rows), absent=F.col("absent")))
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    return found.select(turns.key_of(F.col("name"), kind).alias("conv_id"), *[c for c in found.columns if c != "name"])
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.manifest(docs, tampered, lowered)[0]
+
+
+@query
+def op13_substring_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = substrings.drop_repeated_passages(docs)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
