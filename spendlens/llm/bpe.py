@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from spendlens.llm.common import require, with_columns
-from spendlens.llm.words import Memory, by_bytes, is_open
+from spendlens.llm.words import REMEMBERED, Memory, by_bytes, is_open, owned
 
 #: Bytes of pre-tokens that share a run of the queue; a longer pre-token has its own.
 GROUP_BYTES = 100_000
@@ -69,7 +68,7 @@ class RankQueue:
 class Bpe:
     """Encoding by merge ranks: ``ranks`` maps the bytes of a token to its id."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
         import regex
 
         self.ranks = ranks
@@ -77,8 +76,7 @@ class Bpe:
         self.pretokens = regex.compile(pattern).findall
         self.of_two = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)  # empty again after each call
-        self.known = Memory()
-        self.heads, self.tails = Memory(100_000), Memory()
+        self.known, self.heads, self.tails = Memory(remembered), Memory(remembered // 4), Memory(remembered)
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each pre-token; many share one run of the queue."""
@@ -195,10 +193,14 @@ def raw(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-@cache
-def from_file(path: str, pattern: str) -> Bpe:
-    with open(path, "rb") as lines:
-        return Bpe({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}, pattern)
+def from_file(path: str, pattern: str, remembered: int = REMEMBERED) -> Bpe:
+    """This worker's encoder of a rank file."""
+
+    def read() -> Bpe:
+        with open(path, "rb") as lines:
+            return Bpe({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}, pattern, remembered)
+
+    return owned(("bpe", path, pattern, remembered), read)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -236,7 +238,11 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", text:
 
 def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode, decode, and keep digests alone: ``key``, n_tokens, ids_sha256
-    (of the decimal ids joined by a space), decoded_sha256 (of the decoded bytes)."""
+    (of the decimal ids joined by a space), decoded_sha256 (of the decoded bytes).
+
+    A null or empty text has no ids: 0, and twice the digest of nothing.  Long
+    texts are encoded whole, rows that repeat alike; no other column is read.
+    """
     require(docs, key, text)
     added = [
         T.StructField("n_tokens", T.LongType()),
@@ -259,8 +265,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
     return with_columns(docs, [text], added, step, carry=[key])
 
 
-def encode_checked(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ids, n_tokens, and round_trip: whether decoding the ids gives the text, a null one counting as empty."""
+def encode_checked(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text",
+                   remembered: int = REMEMBERED) -> DataFrame:
+    """``key``, ids, n_tokens, and round_trip: whether decoding the ids gives the text, a null one counting as empty.
+
+    Workers remember the ids of about ``remembered`` stretches of text: fewer take less memory and more time.
+    """
     require(docs, key, text)
     added = [
         T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()),
@@ -268,7 +278,7 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, key: str = "doc_id"
     ]
 
     def step(rows):
-        bpe = from_file(path, pattern)
+        bpe = from_file(path, pattern, remembered)
         for (texts,), batch in rows:
             found = [np.frombuffer(i, "<u4").astype(np.int32) for i in bpe.encode_texts([(t or b"").decode() for t in texts])]
             same = [bpe.decode(ids.tolist()) == (t or b"") for ids, t in zip(found, texts)]

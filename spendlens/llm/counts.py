@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.llm.common import require, with_columns
-from spendlens.llm.words import Memory, by_bytes
+from spendlens.llm.words import Memory, by_bytes, owned
 
 #: Characters handed to the tokenizer at a time.
 BATCH_CHARS = 200_000
@@ -28,11 +28,6 @@ def tokenizer(path: str):
     return found
 
 
-@cache
-def memory(path: str) -> Memory:
-    return Memory()
-
-
 def lengths(path: str, parts: list[str]) -> list[int]:
     """Tokens of each part, encoded in batches of about the same number of characters."""
     encode = tokenizer(path).encode_batch_fast
@@ -60,7 +55,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, text: str = "tex
     ]
 
     def step(rows):
-        known = memory(path)
+        known = owned(("counts", path), lambda: Memory(250_000))
         for (texts,), batch in rows:
             parts = [t.decode().split(" ") if t else [] for t in texts]
             known.learn(parts, lambda missing: lengths(path, missing))

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from spendlens.llm.common import bounded_broadcast, kept, map_slices, require, with_columns
 from spendlens.llm.decontam import MIX, roll, words
-from spendlens.llm.words import Memory
+from spendlens.llm.words import Memory, owned
 
 #: Nodes of a bucket of which all pairs are verified, and rounds of pivots before the rest is paired by distance alone.
 SMALL, ROUNDS = 48, 2
@@ -93,9 +93,8 @@ def jaccard(a: bytes, b: bytes) -> float:
 # --- steps ------------------------------------------------------------------------
 
 
-@cache
 def worker_memory() -> Memory:
-    return Memory(150_000)
+    return owned("jaccard", lambda: Memory(100_000))
 
 
 def signatures(docs: DataFrame, key: str, text: str, width: int, bands: int, rows: int) -> DataFrame:

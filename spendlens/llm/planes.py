@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, partial
 from itertools import chain
 
 import numpy as np
@@ -27,12 +27,12 @@ from pyspark.sql import types as T
 
 from spendlens.llm.common import arrow_type, map_slices, plain, require
 from spendlens.llm.counts import BATCH_CHARS, tokenizer
-from spendlens.llm.words import Memory, by_bytes, is_open
+from spendlens.llm.words import IdTable, by_bytes, owned
 
 #: Ids in a block, and the ids after which a run of documents is closed.
 BLOCK, CHUNK = 1 << 16, 1 << 20
-#: Parts of texts that are encoded as one text.
-TOGETHER = 200
+#: Parts of texts that are encoded as one text, and parts whose ids a worker remembers.
+TOGETHER, REMEMBERED = 200, 600_000
 CHUNKS = T.StructType([
     T.StructField("shard", T.LongType()),
     T.StructField("first", T.LongType()),
@@ -101,11 +101,6 @@ def unpack(index: list[list[int]], payload: bytes, n_ids: int, block: int, bits:
 # --- text -> ids ----------------------------------------------------------------
 
 
-@cache
-def memories(path: str) -> tuple[Memory, Memory]:
-    return Memory(100_000), Memory(650_000)
-
-
 @cache
 def begins_with_space(path: str) -> np.ndarray:
     found = tokenizer(path)
@@ -147,20 +142,8 @@ def whole(path: str, texts: list[str]) -> list[bytes]:
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers, as the library gives them."""
-    heads, tails = memories(path)
-    parts = [t.split(" ") for t in texts]
-    first = [p.pop(0) for p in parts]
-    heads.learn([first], lambda missing: whole(path, missing))
-    tails.learn(parts, lambda missing: after_space(path, missing))
-    out, known = [], tails.__getitem__
-    for text, head, rest in zip(texts, first, parts):
-        try:
-            if rest and is_open(head):
-                raise TypeError
-            out.append(heads[head] + b"".join(map(known, rest)))
-        except TypeError:  # a part without ids of its own: a run of white space with a space in it
-            out += whole(path, [text])
-    return out
+    table = owned(("planes", path), lambda: IdTable(partial(after_space, path), REMEMBERED))
+    return table.encode(texts, partial(whole, path))
 
 
 # --- data sets --------------------------------------------------------------------

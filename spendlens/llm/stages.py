@@ -38,4 +38,4 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids of the text and their number, and whether decoding them gives the text back."""
     workers_import(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.encode_checked(docs, path, public_tokenizers.PATTERN)
+    return bpe.encode_checked(docs, path, public_tokenizers.PATTERN, remembered=100_000)
