@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(session: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``,
+    or on one machine, as in tests, its warehouse.  A cluster must name one."""
+    named = session.conf.get("spark.checkpoint.dir", None)
+    if named is None and not session.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return (named or session.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -15,6 +24,6 @@ def cut(df: DataFrame) -> DataFrame:
     session = df.sparkSession
     context = session.sparkContext
     if context.getCheckpointDir() is None:
-        shared = session.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-        context.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or shared)
+        named = session.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or shared_folder(session) + "/checkpoints")
     return df.checkpoint()
