@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendlens.operators.lineage import shared_folder
+
 #: Bytes of rows that a Python step handles at a time.
 SLICE_BYTES = 4_000_000
 #: Most rows of a few short columns that are broadcast.
@@ -33,10 +35,8 @@ def workers_import(spark: SparkSession) -> None:
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new path in the folder that all executors share: ``spark.checkpoint.dir``,
-    or the warehouse where a session names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/llm-{kind}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return f"{shared_folder(spark)}/llm-{kind}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame, kind: str, compression: str = "zstd") -> DataFrame:

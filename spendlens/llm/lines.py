@@ -222,7 +222,8 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 2, keep_first: bool = T
     stay, those named like an added one are replaced.  A null or empty text is
     one empty line and becomes an empty text.  A row is a document: rows that
     repeat count each, and rows with equal keys both keep a first occurrence
-    that they share.  A null key comes before all others.
+    that they share.  A null key comes before all others.  Long texts are
+    worked on whole; an empty table stays empty.
     """
     repeated = kept(repeated_lines(docs, min_docs, key, text, long_words), "repeated-lines")
     if repeated.count() > most_broadcast:
@@ -253,28 +254,27 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 2, keep_first: bool = T
 
 def _drop_by_join(docs: DataFrame, repeated: DataFrame, keep_first: bool, key: str, text: str) -> DataFrame:
     """The same, with the repeated lines' places joined back to the documents."""
+    own = [f"_c{i}" for i in range(len(docs.columns))]  # no name of the input can clash with those below
+    named = docs.toDF(*own)
+    at_key, at_text = own[docs.columns.index(key)], own[docs.columns.index(text)]
     marked = with_columns(
-        docs, [text], [T.StructField("_digests", T.ArrayType(T.BinaryType()))],
+        named, [at_text], [T.StructField("_digests", T.ArrayType(T.BinaryType()))],
         lambda rows: (([[digests(t) for t in texts]], batch) for (texts,), batch in rows),
-        carry=[key, text],
-    )
-    number = F.coalesce(F.col(key).cast("long"), F.lit(NO_DOCUMENT))
-    row = marked.select(
-        number.alias("_doc"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("_text"), F.posexplode("_digests").alias("_line", "digest")
+        carry=[at_key, at_text],
     )
+    number = F.coalesce(F.col(at_key).cast("long"), F.lit(NO_DOCUMENT))
+    digest = F.sha2(F.coalesce(at_text, F.lit("")), 256)
+    row = marked.select(number.alias("_doc"), digest.alias("_text"), F.posexplode("_digests").alias("_line", "digest"))
     hits = row.distinct().join(repeated, "digest")
     if keep_first:
         hits = hits.filter((F.col("_doc") != F.col("first_doc")) | (F.col("_line") != F.col("first_line")))
     drops = hits.groupBy("_doc", "_text").agg(F.collect_set(F.col("_line").cast("long")).alias("_drop"))
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    named = docs.withColumns({"_doc": number, "_text": F.sha2(F.coalesce(text, F.lit("")), 256), "_lines": lines})
-    joined = named.join(drops, ["_doc", "_text"], "left")
+    lines = F.split(F.coalesce(at_text, F.lit("")), "\n", -1)
+    joined = named.withColumns({"_doc": number, "_text": digest, "_lines": lines}).join(drops, ["_doc", "_text"], "left")
     gone = F.coalesce("_drop", F.array().cast("array<bigint>"))
     # the positions that stay, told apart without a search through the list for each line
     left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("_lines").cast("long") - 1), gone)
     stay = F.transform(left, lambda i: F.element_at("_lines", (i + 1).cast("int")))
-    return joined.withColumns({
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dropped": F.size(gone).cast("long"),
-        text: F.array_join(stay, "\n"),
-    }).drop("_doc", "_text", "_lines", "_drop")
+    added = {"n_lines": F.size("_lines").cast("long"), "n_dropped": F.size(gone).cast("long"), text: F.array_join(stay, "\n")}
+    others = {name: c for c, name in zip(own, docs.columns) if name not in added}
+    return joined.select(*others.values(), *added.values()).toDF(*others, *added)

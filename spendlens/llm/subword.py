@@ -10,9 +10,10 @@ number of a document's vector, workers score documents with one weight a word.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import reduce
 from uuid import uuid4
 from zlib import crc32
 
@@ -24,8 +25,8 @@ from pyspark.sql import types as T
 from spendlens.llm.common import require, with_columns
 from spendlens.llm.words import memory_of
 
-#: Labelled documents of each class to train on, and the bytes of a text beyond which it is no training text.
-SAMPLE, SAMPLE_TEXT_BYTES = 600, 50_000
+#: Labelled documents of each class to train on.
+SAMPLE = 600
 BUCKETS, WIDTH, GRAM = 1 << 16, 8, 3
 AGAIN = 0  # bucket of a word equal to the one before it
 EPOCHS, RATE, SEED = 5, 0.5, 7
@@ -101,20 +102,26 @@ class Model:
         return list(map(mean, found))
 
 
-def train(texts: list[bytes], labels: list[int], seed: int = SEED) -> Model:
-    """Embeddings and softmax weights by stochastic gradient descent, folded into one weight a bucket."""
+def shares(text: bytes | None) -> np.ndarray:
+    """The weight of each bucket in a document: its features' part of each word, its words' part of the whole text."""
+    found = words(text)
+    total = np.zeros(BUCKETS)
+    for word, n in Counter(found).items():
+        if len(word) <= WORD_CHARS:
+            own = features(word)
+            np.add.at(total, own, n / (len(own) * len(found)))
+        else:
+            own = np.bincount(features(word), minlength=BUCKETS)
+            total += own * (n / (own.sum() * len(found)))
+    return total
+
+
+def train(documents: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = SEED) -> Model:
+    """Embeddings and softmax weights by stochastic gradient descent, folded into one weight a bucket.
+
+    A document is its buckets and their weights.
+    """
     rng = np.random.default_rng(seed)
-    known = lru_cache(200_000)(features)
-    documents = []
-    for text in texts:
-        found = words(text)
-        buckets, share = [], []
-        for word in found:
-            own = known(word) if len(word) <= WORD_CHARS else features(word)
-            buckets += own
-            share += [1 / (len(own) * len(found))] * len(own)
-        ids, place = np.unique(np.array(buckets, np.int64), return_inverse=True)
-        documents.append((ids, np.bincount(place, share, len(ids)).astype(np.float32)))
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias = rng.normal(0, 1, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
     steps, total = 0, EPOCHS * len(documents)
@@ -144,10 +151,9 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 3 == 1
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, sizes: dict[int, int], key: str = "doc_id", text: str = "text",
-           most_bytes: int = SAMPLE_TEXT_BYTES) -> tuple[list[bytes], list[int]]:
-    """At most so many labelled texts of each label, none held out or longer than
-    ``most_bytes``: the first by a hash of the key, so the same rows every time."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, sizes: dict[int, int], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, text and _label of at most so many labelled documents of each label,
+    none held out: the first by a hash of the key, so the same rows every time."""
     order = F.xxhash64(F.lit(label), F.col(key))
     usable = labels.filter(F.col(key).isNotNull() & ~held_out(F.col(key)))
     parts = [
@@ -155,31 +161,41 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, sizes: dict[int, int]
         for value, size in sizes.items()
     ]
     picked = reduce(DataFrame.union, parts)
-    short = docs.select(F.col(key), F.col(text)).filter(F.octet_length(text) <= most_bytes)
-    found = short.join(F.broadcast(picked), key).select(key, text, "_label").collect()  # the sample, at most the sizes' sum
-    rows = sorted((r[key], r["_label"], r[text]) for r in found)
-    return [t.encode() for _, _, t in rows], [value for _, value, _ in rows]
+    return docs.filter(F.col(text).isNotNull()).select(key, text).join(F.broadcast(picked), key)  # as many rows as the sizes' sum
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", size: int = SAMPLE, key: str = "doc_id",
         text: str = "text") -> Model:
-    """A model from at most ``size`` documents of each label.
+    """A model from at most ``size`` documents of each label, each used whole, however long.
 
-    Rows with a null label, key or text teach nothing.  Without documents of
+    Workers sum up the features of a document, so the driver gets at most one
+    number a bucket for each.  Rows with a null label, key or text teach
+    nothing; rows that repeat with one key teach each.  Without documents of
     both labels the model gives every text the label that there is, or 1.
     """
     require(docs, key, text)
     require(labels, key, label)
-    texts, values = sample(docs, labels, label, {0: size, 1: size}, key, text)
+    picked = sample(docs, labels, label, {0: size, 1: size}, key, text)
+
+    def step(rows):
+        for (texts,), batch in rows:
+            found = [shares(t) for t in texts]
+            used = [np.flatnonzero(f) for f in found]
+            yield [[u.astype("<u2").tobytes() for u in used], [f[u].astype("<f4").tobytes() for f, u in zip(found, used)]], batch
+
+    added = [T.StructField("_buckets", T.BinaryType()), T.StructField("_shares", T.BinaryType())]
+    rows = with_columns(picked, [text], added, step, carry=[key, "_label"]).collect()  # the sample
+    rows = sorted((r[key], r["_label"], bytes(r["_buckets"]), bytes(r["_shares"])) for r in rows)
+    values = [r[1] for r in rows]
     if len(set(values)) < 2:
         return Model([0.0] * BUCKETS, 5.0 if 0 not in values else -5.0)
-    return train(texts, values)
+    return train([(np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(w, "<f4")) for _, _, b, w in rows], values)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """Add the probability of label 1 from the whole text; a text without words has 0.
+    """Add the probability of label 1 from the whole text; a null text or one without words has 0.
 
-    Other columns stay; one named like the score is replaced.
+    Rows that repeat are scored alike, long texts and words whole.  Other columns stay; one named like the score is replaced.
     """
     require(docs, text)
     shared, tag = docs.sparkSession.sparkContext.broadcast(model), uuid4().hex

@@ -149,8 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     """
     require(docs, key, text)
     require(labels, key, label)
-    texts, values = sample(docs, labels, label, {1: toxic_sample, 0: ordinary_sample}, key, text)
-    return train([t for t, v in zip(texts, values) if v], [t for t, v in zip(texts, values) if not v])
+    picked = sample(docs, labels, label, {1: toxic_sample, 0: ordinary_sample}, key, text).collect()  # the sample
+    rows = sorted((r[key], r["_label"], r[text].encode()) for r in picked)
+    return train([t for _, v, t in rows if v], [t for _, v, t in rows if not v])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

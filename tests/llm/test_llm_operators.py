@@ -183,6 +183,14 @@ def test_long_lines_repeat_from_two_documents_on(spark, most):
     assert [r["text"] for r in stages.drop_lines(spark, docs, "").orderBy("doc_id").collect()][1] == f"{short}\nown 2"
 
 
+def test_both_ways_give_the_same_columns(spark):
+    rows = [(i, "same\nown", "a", "b", "c", 7) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _lines string, _doc string, _drop string, n_lines int")
+    ways = [lines.drop_repeated_lines(docs, 2, most_broadcast=most) for most in (lines.MOST_BROADCAST, 0)]
+    assert ways[0].dtypes == ways[1].dtypes
+    assert sorted(map(tuple, ways[0].collect())) == sorted(map(tuple, ways[1].collect()))
+
+
 def test_lines_of_no_documents(none):
     assert lines.drop_repeated_lines(none).count() == 0
 
@@ -214,16 +222,30 @@ def test_leaks(spark, odd, none):
     for block in (10_000, 70):
         found = decontam.find_leaks(docs, items, block_bytes=block)
         rows = {r["doc_id"]: r for r in found.collect()}
-        assert (rows[1]["n_words"], rows[1]["n_hit"], rows[1]["items"]) == (19, 13, ["a", "b", "b2"])
-        assert [tuple(s) for s in rows[1]["spans"]] == [(2, 13), (15, 17)]
+        assert (rows[1]["n_words"], rows[1]["n_hit"], rows[1]["items"]) == (19, 14, ["a", "b", "b2"])
+        assert [tuple(s) for s in rows[1]["spans"]] == [(2, 13), (15, 17), (18, 19)]
         assert [rows[i]["contaminated"] for i in (1, 2, 3, 4)] == [True, False, False, False]
         cut = {r["doc_id"]: r["text"] for r in decontam.remove_leaks(found).collect()}
-        assert cut == {1: "x y.  z. a  here zebra", 2: docs.collect()[1]["text"], 3: None, 4: ""}
+        assert cut == {1: "x y.  z. a  here ", 2: docs.collect()[1]["text"], 3: None, 4: ""}
         assert sorted(r["doc_id"] for r in decontam.remove_leaks(found, whole=True).collect()) == [2, 3, 4]
     assert decontam.find_leaks(odd, items.filter("false")).filter("contaminated").count() == 0
     assert decontam.find_leaks(none, items).count() == 0
 
 
+def test_a_block_of_the_benchmark_is_small():
+    """8 MB of items, a block, take less than 500 MB to index."""
+    import tracemalloc
+
+    order = random.Random(1)
+    items = [(str(i), " ".join(f"w{order.randrange(100_000)}" for _ in range(1000)).encode()) for i in range(1200)]
+    assert sum(len(t) for _, t in items) >= 0.95 * decontam.BLOCK_BYTES
+    tracemalloc.start()
+    windows = decontam.Windows(items, 10)
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    assert windows.scan(decontam.words(items[7][1])) == ([(0, 1000)], {"7"})
+
+
 # --- near copies --------------------------------------------------------------------
 
 
@@ -382,8 +404,35 @@ def test_all_of_a_long_word_counts(monkeypatch):
 def test_held_out_labels_teach_nothing(labelled):
     docs, labels = labelled
     held = labels.filter(subword.held_out(F.col("doc_id")))
-    texts, values = subword.sample(docs, held, "quality", {0: 100, 1: 100})
-    assert texts == [] and values == []
+    assert subword.sample(docs, held, "quality", {0: 100, 1: 100}).collect() == []
+
+
+def test_long_texts_teach(spark):
+    """Texts of 64 kB teach both classifiers as short ones do."""
+    order = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(200):
+        own = order.choices(vocabulary, k=9000)
+        if i % 2:
+            own[::40] = ["junk!!##"] * len(own[::40])
+        rows.append((i, " ".join(own), i % 2))
+    assert min(len(r[1]) for r in rows) > 64_000
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(8)
+    docs, labels = frame.select("doc_id", "text"), frame.select("doc_id", (1 - F.col("label")).alias("quality"), F.col("label").alias("toxic"))
+    good = subword.score(docs, subword.fit(docs, labels)).join(labels, "doc_id").collect()
+    assert all((r["score"] >= 0.5) == (r["quality"] == 1) for r in good)
+    bad = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").collect()
+    assert all((r["score"] >= toxicity.CUTOFF) == (r["toxic"] == 1) for r in bad)
+
+
+def test_shares_sum_up_the_features():
+    text = "ab ab  cd " + "漢" * 70 + " ab"
+    found, wanted = subword.words(text.encode()), np.zeros(subword.BUCKETS)
+    for word in found:
+        for b in subword.features(word):
+            wanted[b] += 1 / (len(subword.features(word)) * len(found))
+    assert np.allclose(subword.shares(text.encode()), wanted) and not subword.shares(None).any()
 
 
 # --- rules --------------------------------------------------------------------------------
@@ -486,3 +535,24 @@ def test_deep_paths_keep_their_levels(spark, above):
 def test_no_pages(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     assert urls.filter_urls(df, RULES).count() == 0
+
+
+# --- stages ---------------------------------------------------------------------------------
+
+
+def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    """Each stage gives the columns of documents back, and does not fail on odd rows or none."""
+    from spendlens.llm import stages
+
+    rows = [(i, t, "en", "s", i) for i, t in enumerate(ODD)] + [(None, "null key", None, None, None), (5, ODD[5], "en", "s", 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, 1, 0), (4, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a b c d"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage in (stages.quality, stages.drop_lines, stages.near_duplicates, stages.decontaminate):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() <= len(rows)
+        assert stage(spark, docs.filter("false"), str(tmp_path)).collect() == []
+    done = stages.tokenize(spark, docs, str(tmp_path)).collect()
+    assert len(done) == len(rows) and all(r["round_trip"] for r in done)
+    assert stages.tokenize(spark, docs.filter("false"), str(tmp_path)).collect() == []
