@@ -415,7 +415,7 @@ def test_long_texts_teach(spark):
     for i in range(200):
         own = order.choices(vocabulary, k=9000)
         if i % 2:
-            own[::40] = ["junk!!##"] * len(own[::40])
+            own[::8] = ["junk!!##"] * len(own[::8])
         rows.append((i, " ".join(own), i % 2))
     assert min(len(r[1]) for r in rows) > 64_000
     frame = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(8)
