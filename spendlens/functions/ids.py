@@ -11,10 +11,16 @@ def _col(c: Column | str) -> Column:
 
 
 def canonical_id(c: Column | str) -> Column:
-    """Id text up to the first dot, so ``123.0`` and ``123`` are one id."""
+    """Id text up to the first dot, as the flow shows it: ``123.0`` and ``123`` are one id, and so are ``a.b`` and ``a.c``."""
     return F.substring_index(_col(c).cast("string"), ".", 1)
 
 
+def report_id(c: Column | str) -> Column:
+    """Id text of a report cell, whole; only a number that a spreadsheet wrote as
+    a decimal (``123.0``) loses its tail, so that it meets ``123``."""
+    return F.regexp_replace(_col(c).cast("string"), r"^([0-9]+)\.0*$", "$1")
+
+
 def numeric_id_text(c: Column | str, fill: int = 0) -> Column:
     """Numeric id as integer text; a missing id reads as ``fill``, text that is
     no number as NULL."""

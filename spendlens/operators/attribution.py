@@ -3,8 +3,8 @@
 A sale counts as promoted when its campaign promoted the purchased SKU on the
 same day.  The promoted SKUs of a campaign-day stay one row per SKU; summaries
 first add sales up to one row per (campaign, day, SKU), so the join meets each
-key once on either side.  Row detail joins the raw sales and deals out
-frequent keys.
+key once on either side.  Row detail brings sales and sets together by
+campaign-day in one exchange and deals out frequent days.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from spendlens.functions.checks import check_choice
 from spendlens.functions.values import label_flag, percent_of, sum_or_zero
 from spendlens.operators.filters import drop_missing, for_key
-from spendlens.operators.skew import heavy_keys, salted_left_join
+from spendlens.operators.skew import heavy_keys
 
 DAY = ["campaign_id", "date"]
 
@@ -55,12 +55,26 @@ def promoted_lists(campaign: DataFrame, chosen: str) -> DataFrame:
 def attach_promoted(sales: DataFrame, campaign: DataFrame) -> DataFrame:
     """Every sales row with ``n_skus``, the size of its campaign-day's promoted
     set (missing where there is no such day), and ``is_promoted``, whether the
-    set has its SKU.  The sets themselves stay one row per SKU."""
-    keys = [*DAY, "purchased_sku"]
-    heavy_skus, heavy_days = heavy_keys(sales, keys, DAY)
-    joined = salted_left_join(sales, _hits(campaign), keys, heavy_skus)
-    joined = salted_left_join(joined, day_sizes(campaign), DAY, heavy_days)
-    return joined.withColumn("is_promoted", F.col("_hit").isNotNull()).drop("_hit")
+    set has its SKU.
+
+    Sales and sets travel once, together, to the task of their campaign-day, and
+    both answers are read off the sorted rows there.  A day with more sales
+    than one task's share is dealt out, its set repeated for each share.
+    """
+    [heavy] = heavy_keys(sales, DAY)
+    shares = F.coalesce(F.try_element_at(heavy, F.xxhash64(*DAY)), F.lit(1))
+    share = F.pmod(F.xxhash64(F.spark_partition_id(), *sales.columns), shares).cast("int")
+    dealt = sales.withColumns({"_salt": F.when(shares > 1, share).otherwise(0), "_sku": F.col("purchased_sku"), "_set": F.lit(False)})
+    skus = drop_missing(campaign, DAY).select(*DAY, F.col("promoted_sku").alias("_sku")).distinct()
+    sets = skus.withColumns({"_salt": F.explode(F.sequence(F.lit(0), shares - 1)), "_set": F.lit(True)})
+    placed = dealt.unionByName(sets, allowMissingColumns=True).repartition(*DAY, "_salt")
+    member = F.col("_set") & F.col("_sku").isNotNull()
+    sku = Window.partitionBy(*DAY, "_salt", "_sku")
+    # in the order of the SKUs, though it needs none: the rows are then sorted once
+    day = Window.partitionBy(*DAY, "_salt").orderBy("_sku").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = placed.withColumn("is_promoted", F.max(member).over(sku))
+    met = met.withColumn("n_skus", F.when(F.max("_set").over(day), F.count_if(member).over(day)))
+    return met.filter(~F.col("_set")).select(*sales.columns, "n_skus", "is_promoted")
 
 
 def set_membership(sales: DataFrame, campaign: DataFrame) -> DataFrame:

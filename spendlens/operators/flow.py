@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.checks import check_choice
-from spendlens.functions.ids import pair_key
+from spendlens.functions.ids import canonical_id, pair_key
 from spendlens.functions.values import zero_to_epsilon
 from spendlens.operators.filters import distinct_values, drop_missing, for_key, keep_members
 from spendlens.operators.metrics import grouped_metrics
@@ -29,9 +29,13 @@ def other_side(primary: str) -> str:
 
 
 def flow_rows(df: DataFrame) -> DataFrame:
-    """Report rows with both ids.  Loaded reports have them in canonical form,
-    so a filter on an id reaches the scan."""
-    return drop_missing(df, SIDES)
+    """Report rows with both ids, which the flow cuts at their first dot."""
+    return drop_missing(df, SIDES).withColumns({side: canonical_id(side) for side in SIDES})
+
+
+def chosen_rows(df: DataFrame, primary: str, chosen: str) -> DataFrame:
+    """The flow's rows of one primary value.  Its ids begin with that value, a filter that reaches the scan."""
+    return for_key(flow_rows(df.filter(F.startswith(primary, F.lit(chosen)))), primary, chosen)
 
 
 def flow_forward(rows: DataFrame, primary: str, chosen: str, metric: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,3 +29,11 @@ def cut(df: DataFrame) -> DataFrame:
         named = session.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or shared_folder(session) + "/checkpoints")
     return df.checkpoint()
+
+
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """The table written as Parquet to a folder of its own in the shared folder
+    and read back: computed once, and later readers take the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/{kind}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -21,6 +21,9 @@ from spendlens.operators.metrics import metric_values
 from spendlens.schema import BROADCAST_ROWS, METRICS, PAGE_SIZE, TOP_DEFAULT
 
 
+SKETCH = 10_000  # accuracy of the quantile sketch: ranges may be off by a ten-thousandth of the values
+
+
 def descending(value: str, key: str) -> list[Column]:
     """Largest value first, missing values last, ties by key."""
     return [F.desc_nulls_last(value), F.asc(key)]
@@ -110,20 +113,26 @@ def value_ranks(values: DataFrame, key: str) -> DataFrame:
     """Add ``rank`` to a (key, metric, value) table: place by value, largest
     first, ties sharing the smallest, per metric; missing values unranked.
 
-    A rank is the position at which a value begins.  A frequent value fills
-    many ranges; each of its rows looks only at its own range, and where the
-    value began earlier is known from the few values that open a range.
+    Rows are counted, not sorted: each different value has a count, and a
+    quantile sketch of these values, merged from all tasks, gives the bounds of
+    ranges of about equal size.  A rank is the number of rows in higher ranges
+    plus that of larger values in its own.  No job runs while planning.
     """
-    placed = _placed(values, [F.asc("metric"), *descending("value", key)])
-    tie = ["metric", "value"]
-    opening = placed.filter((F.col("_place") == 0) & F.col("value").isNotNull()).select(*tie).distinct()
-    # these three have no more rows than there are ranges, or metrics
-    reaching = placed.join(F.broadcast(opening), tie).groupBy(*tie).agg(F.min("_position").alias("_reached"))
-    starts = placed.groupBy("metric").agg((F.min("_position") - 1).alias("_before"))
-    here = F.min("_position").over(Window.partitionBy("_range", *tie))
-    begun = placed.withColumn("_here", here).join(F.broadcast(reaching), tie, "left").join(F.broadcast(starts), "metric")
-    rank = F.coalesce("_reached", "_here") - F.col("_before")
-    return begun.select(key, *tie, F.when(F.col("value").isNotNull(), rank).alias("rank"))
+    tie, ranges = ["metric", "value"], max(16, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = values.filter(F.col("value").isNotNull()).groupBy(*tie).agg(F.count(F.lit(1)).alias("_rows"))
+    shares = [i / ranges for i in range(1, ranges)]
+    # a row for each metric
+    bounds = counts.groupBy("metric").agg(F.percentile_approx("value", shares, SKETCH).alias("_bounds"))
+    above = F.size(F.filter("_bounds", lambda b: b > F.col("value"))).alias("_range")
+    ranged = counts.join(F.broadcast(bounds), "metric").select(*tie, "_rows", above)
+    # a row for each metric and range
+    sizes = ranged.groupBy("metric", "_range").agg(F.sum("_rows").alias("_size"))
+    higher = Window.partitionBy("metric").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("metric", "_range", F.coalesce(F.sum("_size").over(higher), F.lit(0)).alias("_offset"))
+    larger = Window.partitionBy("metric", "_range").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(F.broadcast(offsets), ["metric", "_range"])
+    ranks = placed.select(*tie, (F.col("_offset") + F.coalesce(F.sum("_rows").over(larger), F.lit(0)) + 1).alias("rank"))
+    return values.join(ranks, tie, "left").select(key, *tie, "rank")
 
 
 def metric_ranks(df: DataFrame, key: str = "campaign_id", metrics: Iterable[str] = METRICS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from spendlens.functions.checks import check_metric
 from spendlens.operators import flow as L
-from spendlens.operators.filters import Day, between_dates, for_key
+from spendlens.operators.filters import Day, between_dates
 from spendlens.operators.lineage import cut
 from spendlens.schema import PALETTE_SIZE
 
@@ -19,6 +19,7 @@ class Flow:
     """Tables of one flow view; each is made when it is first asked for."""
 
     rows: DataFrame
+    own: DataFrame  # those of the chosen value
     primary: str
     chosen: str
     metric: str
@@ -32,7 +33,7 @@ class Flow:
 
     @cached_property
     def _forward(self) -> DataFrame:
-        return L.flow_forward(self.rows, self.primary, self.chosen, self.metric)
+        return L.flow_forward(self.own, self.primary, self.chosen, self.metric)
 
     @cached_property
     def legs(self) -> DataFrame:
@@ -58,8 +59,7 @@ class Flow:
         """Forward links, with product names where the report has them."""
         if "promoted_product" not in self.rows.columns:
             return self.forward
-        own = for_key(self.rows, self.primary, self.chosen)
-        return L.with_product(self.forward, own, self.chosen if self.primary == "promoted_sku" else None)
+        return L.with_product(self.forward, self.own, self.chosen if self.primary == "promoted_sku" else None)
 
 
 def flow(df: DataFrame, primary: str, chosen: str, metric: str = "total_sales", start: Day = None, end: Day = None,
@@ -69,4 +69,5 @@ def flow(df: DataFrame, primary: str, chosen: str, metric: str = "total_sales",
     ``campaign_id`` or ``promoted_sku``."""
     check_metric(metric)
     L.other_side(primary)
-    return Flow(between_dates(L.flow_rows(df), start, end), primary, chosen, metric, namespaced, palette)
+    dated = between_dates(df, start, end)
+    return Flow(L.flow_rows(dated), L.chosen_rows(dated, primary, chosen), primary, chosen, metric, namespaced, palette)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlens.functions.ids import canonical_id, clean_number, parse_report_date, parse_report_time
+from spendlens.functions.ids import clean_number, parse_report_date, parse_report_time, report_id
 from spendlens.schema import CAMPAIGN_SCHEMA, SALES_SCHEMA
 
 
@@ -15,7 +15,7 @@ NO_NUMBER = ("", "nan")  # cells without a value, as text
 
 
 def _id_text(name: str, null_label: str | None) -> Column:
-    text = canonical_id(name)
+    text = report_id(name)
     return F.coalesce(text, F.lit(null_label)) if null_label is not None else text
 
 
@@ -23,7 +23,7 @@ def _typed(df: DataFrame, field: T.StructField) -> Column:
     if field.name not in df.columns:
         return F.lit(None).cast(field.dataType)
     if field.name in IDS:
-        return canonical_id(field.name)
+        return report_id(field.name)
     if isinstance(field.dataType, (T.DoubleType, T.DecimalType, T.LongType)) and dict(df.dtypes)[field.name] == "string":
         number = F.when(~F.lower(F.trim(field.name)).isin(*NO_NUMBER), F.col(field.name))
         if isinstance(field.dataType, T.LongType):
@@ -42,7 +42,7 @@ def _select(df: DataFrame, schema: T.StructType, special: dict[str, Column]) ->
 
 
 def normalize_campaign(df: DataFrame, null_label: str | None = None) -> DataFrame:
-    """Campaign report with its schema's types and ids in canonical form.
+    """Campaign report with its schema's types; ids stay whole, but for the decimals of whole numbers.
     Dates that cannot be read fail; ``null_label`` makes rows without a campaign a group of that name."""
     special = {
         "date": parse_report_date("date") if dict(df.dtypes)["date"] == "string" else F.col("date").cast("date"),

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.functions.checks import check_choice
-from spendlens.operators.lineage import cut
+from spendlens.operators.lineage import cut, stored
 from spendlens.operators.skew import heavy_keys, salted_left_join
 from spendlens.schema import BROADCAST_ROWS, CAMPAIGN_LABELS, METRICS, SALES_LABELS
 
@@ -84,12 +84,13 @@ def _cells(line: str) -> Column:
 def _read_csv(spark: SparkSession, paths: list[str], lead_rows: int, labels: list[str],
               required: list[str]) -> tuple[DataFrame, DataFrame]:
     text = spark.read.text(paths)
-    lines = text.select(
+    # the files are read once: headings, checks and rows all come from the lines kept here, with the ids they got in that scan
+    lines = stored(text.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"),
         F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"),
-    )
+    ), "report-lines")
     # Lines of one file block are consecutive, so the smallest id of the first
     # block is the file's first line.
     blocks = lines.filter("block = 0")

@@ -6,21 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spendlens.functions.checks import check_choice
 from spendlens.schema import CAMPAIGN_LABELS, CAMPAIGN_SCHEMA, SALES_LABELS, SALES_SCHEMA
+from spendlens.sources import snapshots
 
 # The two tables and their schemas.
 TABLES = {"campaign_summary": CAMPAIGN_SCHEMA, "sales_report": SALES_SCHEMA}
 
 
 def register(df: DataFrame, name: str, durable: bool = False) -> DataFrame:
-    """Make a table known under a name, replacing the previous one.  A durable
-    table is written once as Parquet and read from there by later queries."""
-    if durable:
-        # a path of its own: without a shared catalog, files of an earlier session may lie there
-        folder = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        df.write.mode("overwrite").format("parquet").option("path", f"{folder}/{name}").saveAsTable(name)
-        return df.sparkSession.table(name)
-    df.createOrReplaceTempView(name)
-    return df
+    """Make a table known under a name, replacing the previous one.
+
+    A durable table is written as a new snapshot; the name then points to it.
+    If the write fails the name keeps its table, and tables read before go on
+    reading their snapshot."""
+    if not durable:
+        df.createOrReplaceTempView(name)
+        return df
+    session = df.sparkSession
+    folder = snapshots.add(session, name, {"rows": df}, fresh=True)
+    _point(session, name, f"{folder}/rows")
+    return session.table(name)
+
+
+def _point(session: SparkSession, name: str, folder: str) -> None:
+    if session.catalog.tableExists(name) and not session.catalog.getTable(name).isTemporary:
+        session.sql(f"ALTER TABLE `{name}` SET LOCATION '{folder}'")
+        session.catalog.refreshTable(name)
+    else:
+        session.catalog.createTable(name, path=folder, source="parquet")
+
+
+def restore(session: SparkSession, name: str, version: int | None = None) -> DataFrame:
+    """Point a name to one of its snapshots, by default the last, as a new session does to find an earlier one's tables."""
+    found = snapshots.folders(session, name, version)
+    if not found:
+        raise ValueError(f"no snapshot of {name!r}")
+    _point(session, name, f"{found[-1]}/rows")
+    return session.table(name)
 
 
 def table(spark: SparkSession, name: str) -> DataFrame:

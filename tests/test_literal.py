@@ -283,6 +283,17 @@ def test_flow_ids_lose_their_decimal_part(spark):
     assert rows(L.flow_forward(L.flow_rows(df), "campaign_id", "7", "total_sales")) == [("7", "12", 10.0)]
 
 
+def test_ids_with_dots_stay_apart_but_in_the_flow(spark):
+    lines = [campaign_row("2024-01-01", c, "PLA", "12.0", "p", 5, 1, clicks, 1, 1, 1, 1, 1)
+             for c, clicks in (("brand.summer", 1), ("brand.winter", 2), ("123.0", 4), ("123", 8), ("1.5", 16), ("v1.0", 32))]
+    df = normalize_campaign(spark.createDataFrame(lines, CAMPAIGN_SCHEMA))
+    clicks = dict(rows(metrics.metric_totals(df, "campaign_id", "clicks"), "campaign_id", "value"))
+    assert clicks == {"brand.summer": 1, "brand.winter": 2, "123": 12, "1.5": 16, "v1.0": 32}
+    shown = flows.flow(df, "campaign_id", "brand", "clicks")
+    assert rows(shown.forward) == [("brand", "12", 3)]
+    assert {r[2] for r in rows(shown.links, "leg", "source", "target") if r[0] == "reverse"} == {"brand", "123", "1", "v1"}
+
+
 def test_palette_cycles(spark):
     lines = [campaign_row("2024-01-01", "A", "PLA", f"{s:02}", "p", 1, 1, 1, 1, 1, 1, 1, 1) for s in range(14)]
     links = flows.flow(spark.createDataFrame(lines, CAMPAIGN_SCHEMA), "campaign_id", "A").links

@@ -74,6 +74,20 @@ def test_one_campaign_is_picked_at_the_scan(spark, tmp_path):
     from spendlens.operators import flow
 
     campaign_summary(spark, SF_SMALL).write.parquet(str(tmp_path / "report"))
-    rows = flow.flow_rows(spark.read.parquet(str(tmp_path / "report")))
+    rows = flow.chosen_rows(spark.read.parquet(str(tmp_path / "report")), "campaign_id", "7")
     plan = flow.flow_forward(rows, "campaign_id", "7", "clicks")._jdf.queryExecution().toString()
-    assert "EqualTo(campaign_id,7)" in plan
+    assert "StringStartsWith(campaign_id,7)" in plan
+
+
+def test_sales_travel_once_to_be_flagged(spark, tmp_path):
+    """One exchange of sales rows and sets together, besides that of the distinct sets."""
+    from spendlens.operators import attribution
+    from workload.fixtures import monthly_promotions, sales_report
+
+    sales_report(spark, SF_SMALL).write.parquet(str(tmp_path / "sales"))
+    monthly_promotions(spark, SF_SMALL).write.parquet(str(tmp_path / "campaign"))
+    sales, campaign = (spark.read.parquet(str(tmp_path / name)) for name in ("sales", "campaign"))
+    flagged = attribution.flag_promoted(sales, campaign)
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("+- Sort [") == 1
+    assert "Join" not in plan and flagged.count() == sales.count()

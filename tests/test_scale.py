@@ -202,3 +202,49 @@ def test_window_and_columns_reach_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(date,1996-01-01)" in plan and "IsNotNull(campaign_id)" in plan
     schema = re.search(r"ReadSchema: struct<(.*?)>", plan).group(1)
     assert {c.split(":")[0] for c in schema.split(",")} == {"date", "campaign_id", "clicks"}
+
+
+def test_a_second_load_adds_its_own_states_alone(spark, t1):
+    import uuid
+
+    from spendlens.operators import metrics
+    from spendlens.plans import rollup
+    from spendlens.sources import snapshots
+
+    name = f"t1-{uuid.uuid4().hex}"
+    rollup.add_load(spark, name, t1.filter("date = '2024-01-01'"))
+    first = snapshots.folders(spark, name)
+    rollup.add_load(spark, name, t1.filter("date <> '2024-01-01'"))
+    assert snapshots.folders(spark, name)[:1] == first and len(snapshots.folders(spark, name)) == 2
+    added = spark.read.parquet(snapshots.folders(spark, name)[1] + "/days")
+    assert {str(r["date"]) for r in added.collect()} == {"2024-01-02", "2024-01-03"}
+
+    def same(states, keys, wanted):
+        found = rollup.merged_metrics(states, keys)
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, wanted.select(found.columns).collect()))
+
+    for _ in range(2):
+        same(rollup.day_states(spark, name), ["campaign_id"], metrics.grouped_metrics(t1, ["campaign_id"]))
+        same(rollup.day_states(spark, name), ["date", "placement_type"], metrics.placement_daily(t1))
+        same(rollup.sku_states(spark, name), ["promoted_sku"], metrics.grouped_metrics(t1, ["promoted_sku"]))
+        rollup.compact(spark, name)
+    assert len(snapshots.folders(spark, name)) == 1
+
+
+def test_ranks_plan_without_a_job(spark):
+    """Planning runs nothing, and a value that most rows share gets one rank."""
+    from spendlens.operators.ranking import value_ranks
+
+    tracker, group = spark.sparkContext.statusTracker(), "planning-ranks"
+    rows = spark.range(50_000).select(
+        F.col("id").cast("string").alias("k"), F.lit("m").alias("metric"),
+        F.when(F.col("id") % 3 == 0, 7.0).when(F.col("id") % 1000 == 1, None).otherwise(F.col("id").cast("double")).alias("value"),
+    )
+    spark.sparkContext.setJobGroup(group, group)
+    ranked = value_ranks(rows, "k")
+    assert len(tracker.getJobIdsForGroup(group)) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    wanted = rows.toPandas()
+    wanted["rank"] = wanted["value"].rank(method="min", ascending=False)
+    found = ranked.toPandas().set_index("k")["rank"]
+    assert ((found.loc[wanted["k"]].values == wanted["rank"].values) | (wanted["rank"].isna().values & found.loc[wanted["k"]].isna().values)).all()

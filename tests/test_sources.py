@@ -1,6 +1,7 @@
 """Report files, named tables and written results."""
 
 import datetime as dt
+import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -15,7 +16,8 @@ from spendlens.plans.load import load_reports
 from spendlens.schema import CAMPAIGN_LABELS, CAMPAIGN_SCHEMA, SALES_LABELS, SALES_SCHEMA
 from spendlens.sources import reports
 from spendlens.sources.normalize import normalize_campaign, normalize_sales
-from spendlens.sources.tables import register, table, with_headings, write_result
+from spendlens.sources import snapshots
+from spendlens.sources.tables import register, restore, table, with_headings, write_result
 
 LEAD = [["Report", "Campaign, all"], [], ["made", "2024-02-01"]]
 CAMPAIGN_CELLS = [list(CAMPAIGN_LABELS.values())] + [
@@ -213,6 +215,33 @@ def test_load_reports(spark, tmp_path):
         spark.sql(f"DROP TABLE {name}")
 
 
+def test_a_failed_load_leaves_the_old_table(spark):
+    name = f"kept_{uuid.uuid4().hex}"
+    first = register(spark.range(5).withColumnRenamed("id", "n"), name, durable=True)
+    broken = spark.range(100).select(F.when(F.col("id") == 99, F.raise_error(F.lit("half-way")).cast("long")).otherwise(F.col("id")).alias("n"))
+    with pytest.raises(Exception, match="half-way"):
+        register(broken, name, durable=True)
+    assert spark.table(name).count() == 5 and len(snapshots.folders(spark, name)) == 1
+    # a table may be made from itself; those read before keep their version
+    register(spark.table(name).filter("n > 1"), name, durable=True)
+    assert spark.table(name).count() == 3 and first.count() == 5
+    assert [r["version"] for r in snapshots.entries(spark, name)] == [1, 2]
+    assert restore(spark, name, 1).count() == 5 and restore(spark, name).count() == 3
+    spark.sql(f"DROP TABLE {name}")
+    assert restore(spark, name).count() == 3  # as a new session finds it
+    spark.sql(f"DROP TABLE {name}")
+    with pytest.raises(ValueError):
+        restore(spark, "never_loaded")
+
+
+def test_a_text_report_is_scanned_once(spark, tmp_path):
+    path = csv_file(tmp_path / "a.csv", SALES_CELLS)
+    report = reports.read_report(spark, path, "sales", "csv")
+    for df in (report.table, report.rejected):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "a.csv" not in plan and "FileScan text" not in plan and "report-lines" in plan
+
+
 def test_views_instead_of_tables(spark, tmp_path):
     loaded = load_reports(spark, sales_paths=xlsx_file(tmp_path / "s.xlsx", SALES_CELLS), durable=False)
     assert loaded.sales.count() == len(T2) and not has_rows(loaded.campaign)

@@ -218,11 +218,18 @@ TYPED = ", ".join(
     for m in METRICS
 )
 
+
+def dotted(name: str, vary: str) -> str:
+    """An id that keeps its text behind a dot in every fourth row."""
+    return f"CASE WHEN {vary} % 4 = 1 THEN {name} || '.b' ELSE {name} END AS {name}"
+
 ORACLE: dict[str, str] = {
     "normalize_campaign": C
-    + f"SELECT date, campaign_id, placement_type, promoted_sku, promoted_product_id, promoted_product, {TYPED} FROM campaign",
+    + f"SELECT date, {dotted('campaign_id', 'clicks')}, placement_type, {dotted('promoted_sku', 'clicks')}, "
+    f"{dotted('promoted_product_id', 'clicks')}, promoted_product, {TYPED} FROM campaign",
     "normalize_sales": S
-    + "SELECT date, order_date, campaign_id, purchased_sku, CAST(total_sales AS DOUBLE) AS total_sales, "
+    + f"SELECT date, order_date, {dotted('campaign_id', 'CAST(purchased_sku AS INT)')}, "
+    f"{dotted('purchased_sku', 'CAST(purchased_sku AS INT)')}, CAST(total_sales AS DOUBLE) AS total_sales, "
     "CAST(CASE WHEN CAST(purchased_sku AS INT) % 3 = 0 THEN 18 ELSE 0 END AS BIGINT) AS order_hour FROM sales",
     "date_bounds": C + "SELECT min(date) AS min_date, max(date) AS max_date FROM campaign",
     "filter_date_range": C
@@ -280,6 +287,13 @@ ORACLE: dict[str, str] = {
     "trend_series": C
     + f"SELECT date, campaign_id, placement_type, {rounded('roas', kind='sum')} AS value FROM campaign "
     "GROUP BY date, campaign_id, placement_type",
+    "rolled_overview": C + f"SELECT campaign_id, {', '.join(f'{near(agg(m))} AS {m}' for m in ('total_sales', 'ctr', 'roas'))}, CAST(sum(clicks) AS BIGINT) AS clicks "
+    "FROM campaign WHERE campaign_id IS NOT NULL GROUP BY campaign_id",
+    "rolled_sku_totals": C + f"SELECT promoted_sku, {near('value')} AS value FROM ({totals('promoted_sku', 'roas')})",
+    "rolled_trend": C
+    + f"SELECT date, campaign_id, placement_type, {rounded('roas', kind='sum')} AS value FROM campaign "
+    "GROUP BY date, campaign_id, placement_type",
+    "rolled_placement": C + wide("placement_type"),
     "comparison_series": C
     + f"SELECT date, {rounded('total_sales')} AS total_sales, {rounded('ctr', kind='sum')} AS ctr FROM campaign "
     f"WHERE {WINDOW} AND campaign_id = '{CAMPAIGN}' GROUP BY date",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from spendlens.functions import ids, values
 from spendlens.operators import attribution, filters, flow as links_of, metrics, ranking, scaling
-from spendlens.plans import contribution, distribution, flows, placement, score, trend
+from spendlens.plans import contribution, distribution, flows, placement, rollup, score, trend
 from spendlens.sources import normalize
 from workload.fixtures import campaign_summary, monthly_promotions, read, sales_report
 
@@ -57,7 +58,7 @@ def exact(df: DataFrame) -> DataFrame:
 
 
 def as_cells(df: DataFrame, vary: Column, ids_: list[str], dates: list[str], quarter: float) -> DataFrame:
-    """The report as its files have it: text, with ids like ``7.0``, days as text, ``yyyyMMdd`` or numbers, and NaN."""
+    """The report as its files have it: text, with ids like ``7.0`` and ``7.b``, days as text, ``yyyyMMdd`` or numbers, and NaN."""
     serial = F.datediff(F.col(dates[0]), F.lit("1899-12-30").cast("date"))
     day = (
         F.when(vary % 3 == 0, F.concat(serial.cast("string"), F.lit(str(quarter)[1:])))
@@ -70,7 +71,7 @@ def as_cells(df: DataFrame, vary: Column, ids_: list[str], dates: list[str], qua
         if name in dates:
             cells[name] = day
         elif name in ids_:
-            cells[name] = F.when(vary % 2 == 0, F.concat(text, F.lit(".0"))).otherwise(text)
+            cells[name] = F.when(vary % 2 == 0, F.concat(text, F.lit(".0"))).when(vary % 4 == 1, F.concat(text, F.lit(".b"))).otherwise(text)
         elif kind == "double":
             cells[name] = F.coalesce(text, F.lit("NaN"))
         elif kind == "bigint":
@@ -230,6 +231,39 @@ def metric_totals_mean(spark, sf):
     return plain(metrics.metric_totals(campaign_summary(spark, sf), "promoted_sku", "roas"))
 
 
+def two_loads(spark, sf):
+    """States of the campaign report, loaded in two parts and a third that is empty, under a name of their own."""
+    name, rows = f"campaign-{uuid.uuid4().hex}", campaign_summary(spark, sf)
+    for part in (F.col("date") < "1998-01-01", F.col("date") >= "1998-01-01", F.lit(False)):
+        rollup.add_load(spark, name, rows.filter(part))
+    return name
+
+
+@query
+def rolled_overview(spark, sf):
+    states = rollup.day_states(spark, two_loads(spark, sf))
+    return plain(rollup.merged_metrics(states, ["campaign_id"], ["total_sales", "clicks", "ctr", "roas"]))
+
+
+@query
+def rolled_sku_totals(spark, sf):
+    states = rollup.sku_states(spark, two_loads(spark, sf))
+    return plain(rollup.merged_metrics(states, ["promoted_sku"], ["roas"]).withColumnRenamed("roas", "value"))
+
+
+@query
+def rolled_trend(spark, sf):
+    states = rollup.day_states(spark, two_loads(spark, sf))
+    return plain(rollup.merged_sums(states, ["date", "campaign_id", "placement_type"], ["roas"]).withColumnRenamed("roas", "value"))
+
+
+@query
+def rolled_placement(spark, sf):
+    name = two_loads(spark, sf)
+    rollup.compact(spark, name)
+    return plain(rollup.merged_metrics(rollup.day_states(spark, name), ["placement_type"]))
+
+
 @query
 def trend_series(spark, sf):
     return plain(metrics.trend_series(campaign_summary(spark, sf), "roas"))
