@@ -121,8 +121,9 @@ def value_ranks(values: DataFrame, key: str) -> DataFrame:
     tie, ranges = ["metric", "value"], max(16, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = values.filter(F.col("value").isNotNull()).groupBy(*tie).agg(F.count(F.lit(1)).alias("_rows"))
     shares = [i / ranges for i in range(1, ranges)]
-    # a row for each metric
-    bounds = counts.groupBy("metric").agg(F.percentile_approx("value", shares, SKETCH).alias("_bounds"))
+    # a row for each metric; naming the rows keeps all readers of the counts on one shuffle
+    bounds = counts.groupBy("metric").agg(F.percentile_approx("value", shares, SKETCH).alias("_bounds"), F.sum("_rows").alias("_all"))
+    bounds = bounds.filter("_all > 0").select("metric", "_bounds")
     above = F.size(F.filter("_bounds", lambda b: b > F.col("value"))).alias("_range")
     ranged = counts.join(F.broadcast(bounds), "metric").select(*tie, "_rows", above)
     # a row for each metric and range
