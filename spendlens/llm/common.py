@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 from spendlens.operators.lineage import shared_folder
 
 #: Bytes of rows that a Python step handles at a time.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
+#: Bytes of rows that Spark hands to a Python step at a time.
+BATCH_BYTES = 8_000_000
 #: Most rows of a few short columns that are broadcast.
 MOST_BROADCAST = 1 << 21
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -27,11 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workers_import(spark: SparkSession) -> None:
-    """Put the repository on the path of Python workers started from another folder."""
+    """Put the repository on the path of Python workers started from another folder, and keep what they hold at a
+    time small: rows are handed over in batches of ``BATCH_BYTES``, and Arrow gives memory back that it has used."""
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(":")
     if ROOT not in paths:
         environment["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
+    environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    environment.setdefault("MALLOC_ARENA_MAX", "2")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:

@@ -94,7 +94,7 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def worker_memory() -> Memory:
-    return owned("jaccard", lambda: Memory(100_000))
+    return owned("jaccard", lambda: Memory(60_000))
 
 
 def signatures(docs: DataFrame, key: str, text: str, width: int, bands: int, rows: int) -> DataFrame:

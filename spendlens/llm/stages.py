@@ -60,4 +60,4 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     workers_import(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.encode_checked(docs, path, public_tokenizers.PATTERN, remembered=100_000)
+    return bpe.encode_checked(docs, path, public_tokenizers.PATTERN, remembered=60_000)

@@ -73,7 +73,7 @@ def owned(owner: Hashable, make: Callable[[], object]):
 
 def memory_of(model: str) -> Memory:
     """This worker's memory of what a model gives for each stretch."""
-    return owned(model, lambda: Memory(100_000))
+    return owned(model, lambda: Memory(60_000))
 
 
 class Numbers(dict):
