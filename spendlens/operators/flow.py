@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spendlens.functions.checks import check_choice
 from spendlens.functions.ids import canonical_id, pair_key
 from spendlens.functions.values import zero_to_epsilon
+from spendlens.operators.bloom import may_be_in
 from spendlens.operators.filters import distinct_values, drop_missing, for_key, keep_members
 from spendlens.operators.metrics import grouped_metrics
 from spendlens.operators.ranking import first_seen_index
@@ -48,15 +49,17 @@ def flow_reverse(rows: DataFrame, forward: DataFrame, primary: str, metric: str)
 
     A short list of secondaries is broadcast and picks the report rows before
     they are grouped, so one chosen value does not shuffle the whole report.
-    With a long one, links are grouped first: a secondary then has one row per
-    primary, however many report rows it has, when it meets the list.
+    With a long one, a Bloom filter of it drops nearly all other rows before
+    they are grouped and shuffled.  Links are grouped first: a secondary then has
+    one row per primary, however many report rows it has, when it meets the list.
     """
     secondary = other_side(primary)
     own = forward.select(secondary)
     n = own.limit(BROADCAST_ROWS + 1).count()
     if n <= BROADCAST_ROWS:
         return grouped_metrics(keep_members(rows, own, secondary, rows=n), [secondary, primary], [metric])
-    return keep_members(grouped_metrics(rows, [secondary, primary], [metric]), own, secondary)
+    near = rows.filter(may_be_in(own, secondary, own.count()))
+    return keep_members(grouped_metrics(near, [secondary, primary], [metric]), own, secondary)
 
 
 def mirrored(reverse: DataFrame, primary: str, chosen: str) -> DataFrame:

@@ -3,7 +3,8 @@
 A load adds the sums and counts of its rows alone, by day, campaign and
 placement and by SKU.  Pages merge the states of all loads: a sum of sums, or a
 sum of sums by a sum of counts for means.  What a page reads then grows with
-days, campaigns and SKUs, not with report rows.
+days, campaigns and SKUs, not with report rows.  Numbers of different campaigns
+do not add up, so each day keeps a sketch of its campaigns; sketches of any days merge.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.checks import check_metric
 from spendlens.functions.values import sum_or_zero
-from spendlens.operators.filters import drop_missing
+from spendlens.operators.filters import Day, between_dates, drop_missing
 from spendlens.schema import METRICS
 from spendlens.sources import snapshots
 
 DAY_KEYS = ("date", "campaign_id", "placement_type")
 SKU_KEYS = ("promoted_sku",)
+#: Accuracy of the sketches: 2^12 registers, a standard error of 1.6 % (1.04 divided by the root of the registers).
+SKETCH_BITS = 12
 
 
 def partial_states(campaign: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -29,9 +32,15 @@ def partial_states(campaign: DataFrame, keys: Sequence[str]) -> DataFrame:
     return campaign.groupBy(*keys).agg(*sums)
 
 
+def id_states(campaign: DataFrame) -> DataFrame:
+    """(date, campaigns): a HyperLogLog sketch of each day's campaigns; rows without a date have one together."""
+    return campaign.groupBy("date").agg(F.hll_sketch_agg("campaign_id", SKETCH_BITS).alias("campaigns"))
+
+
 def add_load(spark: SparkSession, name: str, campaign: DataFrame, fresh: bool = False) -> None:
     """Add the states of one load's rows under a name; ``fresh`` starts anew.  All of them count, or none."""
-    snapshots.add(spark, name, {"days": partial_states(campaign, DAY_KEYS), "skus": partial_states(campaign, SKU_KEYS)}, fresh)
+    states = {"days": partial_states(campaign, DAY_KEYS), "skus": partial_states(campaign, SKU_KEYS), "ids": id_states(campaign)}
+    snapshots.add(spark, name, states, fresh)
 
 
 def compact(spark: SparkSession, name: str) -> None:
@@ -40,6 +49,7 @@ def compact(spark: SparkSession, name: str) -> None:
     for part, keys in (("days", DAY_KEYS), ("skus", SKU_KEYS)):
         states = snapshots.read(spark, name, part)
         merged[part] = states.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in states.columns if c not in keys])
+    merged["ids"] = campaign_states(spark, name).groupBy("date").agg(F.hll_union_agg("campaigns").alias("campaigns"))
     snapshots.add(spark, name, merged, fresh=True)
 
 
@@ -53,6 +63,26 @@ def sku_states(spark: SparkSession, name: str) -> DataFrame:
     return snapshots.read(spark, name, "skus")
 
 
+def campaign_states(spark: SparkSession, name: str) -> DataFrame:
+    """Sketches of campaigns by date: of the basic facts."""
+    return snapshots.read(spark, name, "ids")
+
+
+def merged_facts(states: DataFrame, start: Day = None, end: Day = None) -> DataFrame:
+    """Basic facts of any days from their sketches, one row: the first and last
+    date exactly, the number of campaigns within about 1.6 % (``SKETCH_BITS``;
+    exact for small numbers).  Without a bound rows without a date count too, as in
+    ``basic_facts``, which stays the exact way; no days give 0 campaigns."""
+    if start is not None or end is not None:
+        states = between_dates(states, start, end)
+    estimate = F.hll_sketch_estimate(F.hll_union_agg("campaigns"))
+    return states.agg(
+        F.coalesce(estimate, F.lit(0).cast("long")).alias("n_campaigns"),
+        F.min("date").alias("min_date"),
+        F.max("date").alias("max_date"),
+    )
+
+
 def _merged(metric: str) -> Column:
     if METRICS[check_metric(metric)].kind == "mean":
         return F.try_divide(F.sum(f"{metric}_sum").cast("double"), F.sum(f"{metric}_count").cast("double"))

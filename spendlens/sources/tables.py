@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spendlens.functions.checks import check_choice
+from spendlens.operators.filters import date_bounds
 from spendlens.schema import CAMPAIGN_LABELS, CAMPAIGN_SCHEMA, SALES_LABELS, SALES_SCHEMA
 from spendlens.sources import snapshots
 
@@ -53,6 +54,21 @@ def table(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[name])
 
 
+def stored_bounds(session: SparkSession, name: str, column: str = "date") -> DataFrame:
+    """First and last date of a durable table, one row, out of the footers of its files: no data page is read.
+
+    Spark answers such an aggregate from footers in its second file source
+    alone, so the row belongs to a session of its own and is to be collected.
+    """
+    place = session.sql(f"DESCRIBE TABLE EXTENDED `{name}`").filter("col_name = 'Location'").first()
+    if place is None:
+        raise ValueError(f"{name!r} is not a durable table")
+    own = session.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return date_bounds(own.read.parquet(place["data_type"]), column)
+
+
 def with_headings(df: DataFrame) -> DataFrame:
     """Columns under their report headings; others keep their names."""
     return df.withColumnsRenamed(CAMPAIGN_LABELS | SALES_LABELS)

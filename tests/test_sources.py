@@ -17,7 +17,7 @@ from spendlens.schema import CAMPAIGN_LABELS, CAMPAIGN_SCHEMA, SALES_LABELS, SAL
 from spendlens.sources import reports
 from spendlens.sources.normalize import normalize_campaign, normalize_sales
 from spendlens.sources import snapshots
-from spendlens.sources.tables import register, restore, table, with_headings, write_result
+from spendlens.sources.tables import register, restore, stored_bounds, table, with_headings, write_result
 
 LEAD = [["Report", "Campaign, all"], [], ["made", "2024-02-01"]]
 CAMPAIGN_CELLS = [list(CAMPAIGN_LABELS.values())] + [
@@ -234,6 +234,22 @@ def test_a_failed_load_leaves_the_old_table(spark):
         restore(spark, "never_loaded")
 
 
+def test_bounds_of_a_stored_table_come_from_footers(spark, t1):
+    name = f"bounds_{uuid.uuid4().hex}"
+    register(t1.repartition(3), name, durable=True)
+    found = stored_bounds(spark, name)
+    plan = found._jdf.queryExecution().toString()
+    assert "PushedAggregation: [MIN(date), MAX(date)]" in plan
+    assert tuple(found.first()) == (dt.date(2024, 1, 1), dt.date(2024, 1, 3))
+    register(t1.limit(0), name, durable=True)
+    assert tuple(stored_bounds(spark, name).first()) == (None, None)
+    spark.sql(f"DROP TABLE {name}")
+    t1.createOrReplaceTempView("bounds_view")
+    with pytest.raises(ValueError, match="durable"):
+        stored_bounds(spark, "bounds_view")
+    spark.catalog.dropTempView("bounds_view")
+
+
 def test_a_text_report_is_scanned_once(spark, tmp_path):
     path = csv_file(tmp_path / "a.csv", SALES_CELLS)
     report = reports.read_report(spark, path, "sales", "csv")

@@ -293,6 +293,13 @@ ORACLE: dict[str, str] = {
     "rolled_trend": C
     + f"SELECT date, campaign_id, placement_type, {rounded('roas', kind='sum')} AS value FROM campaign "
     "GROUP BY date, campaign_id, placement_type",
+    "rolled_facts": C
+    + "SELECT count(DISTINCT campaign_id) AS n_campaigns, min(date) AS min_date, max(date) AS max_date, "
+    f"true AS within_bound, true AS same_dates FROM campaign WHERE {WINDOW}",
+    "footer_bounds": C + "SELECT min(date) AS min_date, max(date) AS max_date FROM campaign",
+    "long_list_members": with_(CAMPAIGN_CTE, SALES_CTE)
+    + "SELECT date, campaign_id, promoted_sku, clicks FROM campaign "
+    "WHERE promoted_sku IN (SELECT purchased_sku FROM sales WHERE purchased_sku LIKE '%7')",
     "rolled_placement": C + wide("placement_type"),
     "comparison_series": C
     + f"SELECT date, {rounded('total_sales')} AS total_sales, {rounded('ctr', kind='sum')} AS ctr FROM campaign "

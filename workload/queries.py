@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.functions import ids, values
-from spendlens.operators import attribution, filters, flow as links_of, metrics, ranking, scaling
+from spendlens.operators import attribution, bloom, filters, flow as links_of, metrics, ranking, scaling
 from spendlens.plans import contribution, distribution, flows, placement, rollup, score, trend
-from spendlens.sources import normalize
+from spendlens.sources import normalize, tables
 from workload.fixtures import campaign_summary, monthly_promotions, read, sales_report
 
 CAMPAIGN = "7"
@@ -264,6 +264,38 @@ def rolled_placement(spark, sf):
     return plain(rollup.merged_metrics(rollup.day_states(spark, name), ["placement_type"]))
 
 
+@query
+def rolled_facts(spark, sf):
+    """Sketched basic facts of some years beside the exact ones."""
+    states = rollup.campaign_states(spark, two_loads(spark, sf))
+    found = rollup.merged_facts(states, START, END)
+    exact_facts = metrics.basic_facts(filters.between_dates(campaign_summary(spark, sf), START, END))
+    both = exact_facts.withColumn("found", found.select(F.struct("*")).scalar())
+    within = F.abs(F.col("found.n_campaigns") - F.col("n_campaigns")) <= F.greatest(0.05 * F.col("n_campaigns"), F.lit(1))
+    return both.select("n_campaigns", "min_date", "max_date", within.alias("within_bound"),
+                       ((F.col("found.min_date") == F.col("min_date")) & (F.col("found.max_date") == F.col("max_date"))).alias("same_dates"))
+
+
+@query
+def footer_bounds(spark, sf):
+    """First and last date of a durable table from its files' footers."""
+    name = f"campaign_{uuid.uuid4().hex}"
+    tables.register(campaign_summary(spark, sf), name, durable=True)
+    found = tables.stored_bounds(spark, name)
+    bounds = spark.createDataFrame([found.first()], found.schema)
+    spark.sql(f"DROP TABLE `{name}`")
+    return bounds
+
+
+@query
+def long_list_members(spark, sf):
+    """Report rows of the SKUs that were bought, a list too long to broadcast: a Bloom filter, then the exact join."""
+    bought = filters.distinct_values(filters.drop_missing(sales_report(spark, sf), ["purchased_sku"]), ["purchased_sku"])
+    keys = bought.filter("purchased_sku LIKE '%7'").withColumnRenamed("purchased_sku", "promoted_sku")
+    rows = campaign_summary(spark, sf).select("date", "campaign_id", "promoted_sku", "clicks")
+    return filters.keep_members(rows.filter(bloom.may_be_in(keys, "promoted_sku", keys.count())), keys, "promoted_sku")
+
+
 @query
 def trend_series(spark, sf):
     return plain(metrics.trend_series(campaign_summary(spark, sf), "roas"))
