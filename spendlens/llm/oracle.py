@@ -52,21 +52,7 @@ FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
 
-# --- op2: templates level by level ----------------------------------------------
-
-
-def url_levels() -> str:
-    """One step of the tree for each level, from ``t0`` to the last."""
-    steps = []
-    for k in range(1, urls.DEPTH + 1):
-        steps.append(f"""
-l{k} AS (SELECT *, CASE WHEN regexp_matches(seg[{k}], '{urls.VARIABLE}') THEN '*' ELSE seg[{k}] END AS own FROM t{k - 1}),
-v{k} AS (SELECT host, done FROM (SELECT host, done, own, sum(pages) AS n FROM l{k} WHERE own <> '*' GROUP BY ALL)
-         GROUP BY host, done HAVING count(*) >= {urls.MANY} AND sum(n) < {urls.FEW_PAGES} * count(*)),
-t{k} AS (SELECT l.host, path, pages, blocked, labelled, seg, CASE WHEN own IS NULL THEN l.done
-         ELSE list_append(l.done, CASE WHEN v.host IS NOT NULL THEN '*' ELSE own END) END AS done
-         FROM l{k} l LEFT JOIN v{k} v ON l.host = v.host AND l.done = v.done)""")
-    return ",".join(steps)
+# --- op2: templates level by level, to any depth ----------------------------------------------
 
 
 def rule_cases(give: str) -> str:
@@ -81,7 +67,7 @@ def rule_cases(give: str) -> str:
 PARTS = r"'(?s)^.*?://([^/?#]*)([^?#]*)'"
 WEIGHT = urls.WEIGHT
 ORACLE["op2_url_filters"] = f"""
-WITH parts AS (
+WITH RECURSIVE parts AS (
   SELECT page_id, {LOWER.format(f"regexp_extract(coalesce(url, ''), {PARTS}, 1)")} AS host,
          regexp_extract(coalesce(url, ''), {PARTS}, 2) AS path FROM pages
 ), p AS (SELECT *, {rule_cases("rule")}, {rule_cases("said")} FROM parts),
@@ -89,11 +75,18 @@ paths AS (
   SELECT host, path, count(*) AS pages, count(*) FILTER (said = 'block') AS blocked, count(said) AS labelled,
          list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM p GROUP BY host, path
 ),
-t0 AS (SELECT host, path, pages, blocked, labelled, CASE WHEN len(parts) <= {urls.DEPTH} THEN parts
-       ELSE list_append(parts[1:{urls.DEPTH - 1}], array_to_string(parts[{urls.DEPTH}:], '/')) END AS seg,
-       CAST([] AS VARCHAR[]) AS done FROM paths),{url_levels()},
-ends AS (SELECT *, list_max(list_transform(range(1, len(done) + 1), lambda i: CASE WHEN done[i] <> '*' THEN i ELSE 0 END)) AS fixed
-         FROM t{urls.DEPTH}),
+level AS (
+  SELECT host, path, parts, CAST([] AS VARCHAR[]) AS done, pages, 1 AS k FROM paths
+  UNION ALL
+  SELECT host, path, parts, list_append(done, CASE WHEN many >= {urls.MANY} AND n < {urls.FEW_PAGES} * many THEN '*' ELSE own END), pages, k + 1
+  FROM (SELECT *, count(DISTINCT own) FILTER (own <> '*') OVER w AS many, sum(pages) FILTER (own <> '*') OVER w AS n
+        FROM (SELECT *, CASE WHEN regexp_matches(parts[k], '{urls.VARIABLE}') THEN '*' ELSE parts[k] END AS own
+              FROM level WHERE k <= len(parts))
+        WINDOW w AS (PARTITION BY host, done))
+),
+ends AS (SELECT host, path, done, blocked, labelled,
+                list_max(list_transform(range(1, len(done) + 1), lambda i: CASE WHEN done[i] <> '*' THEN i ELSE 0 END)) AS fixed
+         FROM level JOIN paths USING (host, path) WHERE k = len(level.parts) + 1),
 named AS (SELECT host, path, blocked, labelled, '/' || array_to_string(done, '/') AS template, '/' || array_to_string(
           list_transform(range(1, len(done) + 1), lambda i: CASE WHEN i = fixed THEN '{{}}' ELSE done[i] END), '/') AS branch FROM ends),
 leaves AS (SELECT host, branch, template, sum(blocked) AS blocked, sum(labelled) AS labelled FROM named GROUP BY ALL),

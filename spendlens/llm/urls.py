@@ -1,6 +1,6 @@
 """URL filters from a tree of path templates, in DataFrame functions alone.
 
-The paths of a host form a tree of segments.  Level by level, segments that
+The paths of a host form a tree of segments.  From the top, segments that
 vary become wildcards: numbers, and the children of a node that has many of
 few pages each.  Templates of a host that differ in one fixed segment are branches;
 branches whose labelled pages do not differ by more than chance are merged.
@@ -16,9 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.llm.common import kept, require
+from spendlens.operators.skew import heavy_keys, salted_left_join
 
-#: Levels of the tree that one plan holds; deeper ones go on from what is written out.
-DEPTH = 5
 #: A node's children vary if they are so many, with so few pages each on average.
 MANY, FEW_PAGES = 20, 5
 #: Labelled pages that the share above a template counts for, and the share from which templates are rejected.
@@ -44,7 +43,7 @@ def parts(url: Column) -> tuple[Column, Column]:
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
     """The longest rule that fits and its verdict, both null where none does."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for rule, says in sorted(rules, key=lambda r: len(r[0])):  # the longest is asked first
+    for rule, says in sorted(reversed(rules), key=lambda r: len(r[0])):  # the longest is asked first
         on, rest = rule.split("/", 1)
         fits = ((host == on) | host.endswith("." + on)) & path.startswith("/" + rest)
         name, verdict = F.when(fits, F.lit(rule)).otherwise(name), F.when(fits, F.lit(says)).otherwise(verdict)
@@ -56,30 +55,40 @@ def templates(pages: DataFrame) -> DataFrame:
 
     ``pages`` has host, path and verdict (allow, block or null).  The branch is
     the template with its last fixed segment left open.
+
+    A node's children depend only on the wildcards above it.  So a round looks
+    at all levels at once: the highest varied node on a path is final, and what
+    lies below it is looked at again in the next round, together with the paths
+    that its wildcard brought there.  Rounds then follow the wildcards nested in
+    one path, not its levels.
     """
     segments = F.filter(F.split("path", "/", -1), lambda s: s != "")
+    named = F.transform(segments, lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
     tree = pages.groupBy("host", "path").agg(
         F.count(F.lit(1)).alias("pages"), F.count_if(F.col("verdict") == "block").alias("blocked"), F.count("verdict").alias("labelled")
     )
-    tree = tree.withColumns({"_segments": segments, "_done": F.array().cast("array<string>")})
-    deepest, ended = pages.agg(F.max(F.size(segments))).first()[0] or 0, []
-    for level in range(1, deepest + 1):
-        if level > 1 and level % DEPTH == 1:
-            tree = kept(tree, "tree")
-            ended.append(tree.filter(F.size("_segments") < level))
-            tree = tree.filter(F.size("_segments") >= level)
-        own = F.get("_segments", F.lit(level - 1))
-        named = tree.withColumn("_own", F.when(own.rlike(VARIABLE), F.lit("*")).otherwise(own))
-        children = named.filter(F.col("_own") != "*").groupBy("host", "_done", "_own").agg(F.sum("pages").alias("pages"))
-        nodes = children.groupBy("host", "_done").agg(F.count(F.lit(1)).alias("_many"), F.sum("pages").alias("_pages"))
-        varied = nodes.filter((F.col("_many") >= MANY) & (F.col("_pages") < FEW_PAGES * F.col("_many"))).select(
-            "host", "_done", F.lit(True).alias("_varied")
-        )
-        joined = named.join(varied, ["host", "_done"], "left")
-        segment = F.when(F.col("_varied"), F.lit("*")).otherwise(F.col("_own"))
-        done = F.when(F.col("_own").isNull(), F.col("_done")).otherwise(F.array_append("_done", segment))
-        tree = joined.select("host", "path", "pages", "blocked", "labelled", "_segments", done.alias("_done"))
-    tree = reduce(DataFrame.union, ended, tree)
+    tree = kept(tree.withColumns({"_done": named, "_from": F.lit(0), "_id": F.md5(F.concat("host", "path"))}), "tree")
+    ended = []
+    while True:
+        ended.append(tree.filter(F.size("_done") <= F.col("_from")))
+        tree = tree.filter(F.size("_done") > F.col("_from"))
+        steps = F.transform(F.sequence("_from", F.size("_done") - 1), lambda i: F.struct(
+            i.alias("_place"), F.md5(F.array_join(F.slice("_done", F.lit(1), i), "/")).alias("_node"), F.get("_done", i).alias("_own")
+        ))
+        nodes = tree.select("host", "pages", "_id", F.inline(steps))
+        varied = kept(varied_nodes(nodes), "varied")
+        if varied.isEmpty():
+            break
+        on = ["host", "_node"]
+        placed = _spread(nodes.select(*on, "_id", "_place"), varied.withColumn("_varied", F.lit(True)), on)
+        first = placed.filter("_varied").groupBy("_id").agg(F.min("_place").alias("_first"))
+        opened = F.transform("_done", lambda s, i: F.when(i == F.col("_first"), F.lit("*")).otherwise(s))
+        tree = tree.join(first, "_id", "left").withColumns({
+            "_done": F.when(F.col("_first").isNull(), F.col("_done")).otherwise(opened),
+            "_from": F.coalesce(F.col("_first") + 1, F.size("_done")),
+        })
+        tree = kept(tree.drop("_first"), "tree")
+    tree = reduce(DataFrame.unionByName, ended, tree)
     fixed = F.array_max(F.transform("_done", lambda s, i: F.when(s != "*", i).otherwise(-1)))
     opened = F.transform("_done", lambda s, i: F.when(i == F.col("_fixed"), F.lit("{}")).otherwise(s))
     tree = tree.withColumn("_fixed", F.coalesce(fixed, F.lit(-1)))
@@ -89,6 +98,19 @@ def templates(pages: DataFrame) -> DataFrame:
     )
 
 
+def varied_nodes(nodes: DataFrame) -> DataFrame:
+    """host and _node of the nodes with many different children of few pages each."""
+    children = nodes.filter(F.col("_own") != "*").groupBy("host", "_node", "_own").agg(F.sum("pages").alias("pages"))
+    sizes = children.groupBy("host", "_node").agg(F.count(F.lit(1)).alias("_many"), F.sum("pages").alias("_pages"))
+    return sizes.filter((F.col("_many") >= MANY) & (F.col("_pages") < FEW_PAGES * F.col("_many"))).select("host", "_node")
+
+
+def _spread(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """``left`` LEFT JOIN ``right``, one row a key; rows of a frequent key, as of one large host, go to many tasks."""
+    [heavy] = heavy_keys(left, on)
+    return salted_left_join(left, right, on, heavy)
+
+
 def judged_templates(paths: DataFrame) -> DataFrame:
     """host, template, merged (the branch and how it differs), purity and rejected."""
 
@@ -96,23 +118,28 @@ def judged_templates(paths: DataFrame) -> DataFrame:
         return (F.col(blocked) + WEIGHT * above) / (F.col(labelled) + WEIGHT)
 
     sums = lambda b, n: (F.sum("blocked").alias(b), F.sum("labelled").alias(n))
-    leaves = paths.groupBy("host", "branch", "template").agg(*sums("blocked", "labelled"))
+    leaves = kept(paths.groupBy("host", "branch", "template").agg(*sums("blocked", "labelled")), "leaves")
+    by_branch, by_host = heavy_keys(leaves, ["host", "branch"], ["host"])
     siblings = leaves.groupBy("host", "branch").agg(*sums("all_blocked", "all_labelled"))
     base = F.try_divide("all_blocked", "all_labelled")
     spread = F.sqrt(F.col("labelled") * base * (1 - base) + 0.25)
     score = F.coalesce((F.col("blocked") - F.col("labelled") * base) / spread, F.lit(0.0))
     kind = F.when(score > DIFFERENT, "more").when(score < -DIFFERENT, "less").otherwise("alike")
-    placed = leaves.join(siblings, ["host", "branch"]).select("host", "branch", "template", "blocked", "labelled", kind.alias("kind"))
+    placed = salted_left_join(leaves, siblings, ["host", "branch"], by_branch).select(
+        "host", "branch", "template", "blocked", "labelled", kind.alias("kind")
+    )
     merged = placed.groupBy("host", "branch", "kind").agg(*sums("blocked", "labelled"))
     hosts = leaves.groupBy("host").agg(*sums("host_blocked", "host_labelled"))
     overall = leaves.agg(*sums("any_blocked", "any_labelled"))
     total = share("any_blocked", "any_labelled", F.lit(PRIOR))
     above = share("host_blocked", "host_labelled", F.coalesce(total, F.lit(PRIOR)))
     # one row for the whole table
-    scored = merged.join(hosts, "host").join(F.broadcast(overall)).withColumn("purity", share("blocked", "labelled", above))
+    beside = salted_left_join(merged, hosts, ["host"], by_host).join(F.broadcast(overall))
+    scored = beside.withColumn("purity", share("blocked", "labelled", above))
     scored = scored.select("host", "branch", "kind", "purity", (F.col("purity") >= REJECT).alias("rejected"))
     named = F.concat_ws(" ", "branch", "kind").alias("merged")
-    return placed.select("host", "branch", "template", "kind").join(scored, ["host", "branch", "kind"]).select(
+    own = placed.select("host", "branch", "template", "kind")
+    return salted_left_join(own, scored, ["host", "branch", "kind"], by_branch, ["host", "branch"]).select(
         "host", "template", named, "purity", "rejected"
     )
 
@@ -123,8 +150,10 @@ def filter_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url:
     Where a rule fits, it decides, and its pages are the labelled ones that the
     templates learn from.  Elsewhere a page is blocked if its template is
     rejected, and allowed otherwise, as is a template without labelled pages
-    near it.  A null URL, or one without ``://``, has an empty host and path
-    and the template ``/``.  Repeated rows count each and are judged alike.
+    near it.  Of rules of one length the first listed holds.  A null URL, or one
+    without ``://``, has an empty host and path and the template ``/``.  Repeated
+    rows count each and are judged alike.  A path may have any number of levels;
+    other columns of ``pages`` are left out.
     """
     require(pages, key, url)
     host, path = parts(F.col(url))
@@ -132,8 +161,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url:
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = split.withColumns({"rule": name, "verdict": verdict})
     paths = kept(templates(ruled), "paths")
-    verdicts = paths.select("host", "path", "template").join(judged_templates(paths), ["host", "template"])
+    verdicts = _spread(paths.select("host", "path", "template"), judged_templates(paths), ["host", "template"])
     said = F.coalesce("verdict", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
-    return ruled.join(verdicts, ["host", "path"], "left").select(
+    return _spread(ruled, verdicts, ["host", "path"]).select(
         key, "host", "path", "rule", said.alias("verdict"), "template", "purity"
     )

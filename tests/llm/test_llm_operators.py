@@ -532,6 +532,20 @@ def test_deep_paths_keep_their_levels(spark, above):
     assert [said[2]["verdict"], said[202]["verdict"]] == ["allow", "block"]
 
 
+def test_levels_cost_no_rounds(spark, monkeypatch):
+    """Paths of 2,000 levels, alike or not, take the rounds of their nested wildcards."""
+    rounds = []
+    varied = urls.varied_nodes
+    monkeypatch.setattr(urls, "varied_nodes", lambda nodes: rounds.append(1) or varied(nodes))
+    deep = "/s" * 2000
+    found = [f"http://h.test{deep[: 2 * i]}" for i in range(1950, 2000)] + [f"http://h.test{deep}/w{i}/x/v{i}" for i in range(30)]
+    found += [f"http://big.test/only/p{i}" for i in range(3000)]  # one host with most of the pages
+    said = judged_urls(spark, found)
+    assert len(rounds) == 3
+    assert {said[i]["template"] for i in range(50, 80)} == {f"{deep}/*/x/*"} and said[7]["template"] == deep[: 2 * 1957]
+    assert {said[i]["template"] for i in range(80, 3080)} == {"/only/*"}
+
+
 def test_no_pages(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     assert urls.filter_urls(df, RULES).count() == 0

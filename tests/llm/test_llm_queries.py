@@ -48,6 +48,34 @@ def test_op2(spark):
         assert row["verdict"] == verdict if verdict else row["verdict"] in ("allow", "block")
 
 
+def test_op2_at_any_depth(spark, tmp_path):
+    """Wildcards nested in wildcards, numbers among words, paths that end above others, against the recursive SQL."""
+    import random
+
+    draw = random.Random(2)
+    hosts = ["example.org", "www.example.org", "shop.com", "x.net", "fr.shop.com"]
+    few, many = ["a", "b", "de", "fr", "en", "es", "*"], [f"w{i}" for i in range(60)]
+
+    def path():
+        names = []
+        for _ in range(draw.choice([0, 1, 2, 3, 5, 8, 12])):
+            names.append(draw.choice(few) if draw.random() < 0.55 else draw.choice(many) if draw.random() < 0.7 else str(draw.randrange(99)))
+        return "/" + "/".join(names) + draw.choice(["", "/", "//", "?q", "#x"])
+
+    found = [f"http://{draw.choice(hosts)}{path()}" for _ in range(6_000)]
+    found += [f"http://x.net/{'de/' * 9}{w}/{'fr/' * 7}{v}" for w in many[:30] for v in many[:30]] + [None, "", "://", "none"] * 20
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(found)], "page_id long, url string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages")
+    [file] = (tmp_path / "pages").glob("*.parquet")
+    file.rename(tmp_path / "pages.parquet")
+    rows = {r["page_id"]: r["template"] for r in run(spark, "op2_url_filters", tmp_path)}
+    assert len(rows) == len(found) and max(t.count("*") for t in rows.values()) > 3
+    con = connect(str(tmp_path))
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT 1")
+    assert difference(spark, con, entry.queries()["op2_url_filters"], entry.oracle_sql()["op2_url_filters"], str(tmp_path)) is None
+
+
 @cache
 def library(name):
     return Tokenizer.from_file(public_tokenizers.path(name))
