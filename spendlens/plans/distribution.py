@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.checks import check_choice, check_metric
+from spendlens.operators.bounds import split_by_bounds
 from spendlens.operators.filters import Day, between_dates
-from spendlens.operators.metrics import metric_values
+from spendlens.operators.metrics import long_metrics, metric_values
 from spendlens.operators.ranking import top_n
 from spendlens.operators.scaling import column_share
 from spendlens.schema import BROADCAST_ROWS, MEAN_METRICS, METRICS, OTHERS_LABEL, SUM_METRICS, TOP_DEFAULT
@@ -23,16 +24,27 @@ class Distribution(NamedTuple):
 
 
 def distribution(df: DataFrame, key: str = "campaign_id", metric: str = "total_sales", n: int = TOP_DEFAULT,
-                 combine_others: bool = True, start: Day = None, end: Day = None) -> Distribution:
+                 combine_others: bool = True, start: Day = None, end: Day = None, by_bounds: bool = False) -> Distribution:
     """Shares of the n largest groups in the six sum metrics, and their means
     of the two mean metrics.  The groups are chosen once, by ``metric``; all
-    other groups count as one, named others, when they are combined."""
+    other groups count as one, named others, when they are combined.
+
+    ``by_bounds`` is for very many groups of which few are large: only rows of
+    groups that can be among the n largest are grouped, for two more passes
+    over the report.  The result is the same.  A mean, or a longer list than is
+    broadcast, is always found by grouping all."""
     check_choice(key, KEYS, "key")
     check_metric(metric)
-    values = metric_values(between_dates(df, start, end), key, METRICS)
+    rows, rest = between_dates(df, start, end), None
+    if by_bounds and metric in SUM_METRICS and n <= BROADCAST_ROWS:
+        rows, rest = split_by_bounds(rows, key, metric, n)
+    values = sums = metric_values(rows, key, METRICS)
+    if rest is not None:  # a group without a name, so that it is one of the others
+        unnamed = rest.withColumn(key, F.lit(None).cast(df.schema[key].dataType))
+        sums = values.unionByName(long_metrics(unnamed, [key], SUM_METRICS))
     chosen = top_groups(values, key, metric, n)
     return Distribution(
-        group_shares(values, chosen, key, combine_others),
+        group_shares(sums, chosen, key, combine_others),
         group_means(values, chosen, key),
     )
 

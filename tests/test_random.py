@@ -81,10 +81,11 @@ def test_trend(tables):
             assert same(found[key]["value"], value) and found[key]["rank"] == top.index(key[1]) + 1
 
 
+@pytest.mark.parametrize("by_bounds", [False, True])
 @pytest.mark.parametrize("key", distribution.KEYS)
-def test_distribution(tables, key):
+def test_distribution(tables, key, by_bounds):
     df, pdf = tables
-    result = distribution.distribution(df, key, "clicks", 2)
+    result = distribution.distribution(df, key, "clicks", 2, by_bounds=by_bounds)
     totals = by(pdf, [key], "clicks").reset_index().sort_values(["clicks", key], ascending=[False, True])
     top = list(totals[key][:2])
     shares = {(r["group"], r["is_others"], r["metric"]): r for r in result.shares.collect()}

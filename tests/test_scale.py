@@ -299,3 +299,47 @@ def test_ranks_plan_without_a_job(spark):
     wanted["rank"] = wanted["value"].rank(method="min", ascending=False)
     found = ranked.toPandas().set_index("k")["rank"]
     assert ((found.loc[wanted["k"]].values == wanted["rank"].values) | (wanted["rank"].isna().values & found.loc[wanted["k"]].isna().values)).all()
+
+
+@pytest.mark.parametrize("metric", ["clicks", "spend", "cpc"])
+def test_top_of_many_groups_meets_few_rows(spark, metric, monkeypatch):
+    """Of 60,000 SKUs with a few large ones, hardly more than those are grouped; values are tied, negative or missing."""
+    from spendlens.operators import bounds
+    from spendlens.plans.distribution import distribution
+    from spendlens.schema import METRICS, MONEY
+
+    number = F.when(F.col("id") < 40, 5_000 - (F.col("id") % 10) * 100).when(F.col("id") % 7 == 0, -3).when(F.col("id") % 5 > 0, F.col("id") % 4)
+    real = (number * F.lit(0.1)).alias
+    report = cut(spark.range(60_000).withColumn("twice", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        F.lit("C").alias("campaign_id"), F.when(F.col("id") != 11, F.concat(F.lit("S"), "id")).alias("promoted_sku"), F.lit(DAY).alias("date"),
+        number.alias("clicks"), number.cast(MONEY).alias("spend"), real("cpc"), *[real(m) for m in METRICS if m not in ("clicks", "spend", "cpc")],
+    ))
+    found = bounds.split_by_bounds(report, "promoted_sku", metric, 25)
+    assert found.rows.count() < 1_000
+    assert rows(found.rows.agg(F.count_distinct("campaign_id")))  # whole rows
+    plan = plan_text(found.rows.groupBy("promoted_sku").agg(F.sum("clicks")))
+    assert "Exchange" not in plan[plan.index("partial_sum(clicks") : plan.index("getbit")]  # the filter is under the partial sums
+
+    def shares_of(n, **settings):
+        result = distribution(report, "promoted_sku", metric, n, **settings).shares
+        return sorted(((r["group"], r["metric"]), round(r["value"], 4), round(r["pct"], 6)) for r in result.collect())
+
+    assert shares_of(25, by_bounds=True) == shares_of(25)
+    if metric == "spend":
+        monkeypatch.setattr(bounds, "BUCKETS", 1 << 6)  # crowded buckets, none of which can be left out
+        assert shares_of(25, by_bounds=True, combine_others=False) == shares_of(25, combine_others=False)
+
+
+@pytest.mark.parametrize("n", [1, 3, 99])
+def test_bounds_on_small_and_empty_tables(spark, t1, n):
+    """Fewer groups than asked for, or none; a mean has no bounds."""
+    from spendlens.operators.bounds import split_by_bounds
+    from spendlens.plans.distribution import distribution
+
+    for table in (t1, t1.filter("false")):
+        for metric in ("total_sales", "roas"):
+            both = [distribution(table, "promoted_sku", metric, n, by_bounds=b) for b in (True, False)]
+            assert sorted(rows(both[0].shares), key=str) == sorted(rows(both[1].shares), key=str)
+            assert sorted(rows(both[0].means), key=str) == sorted(rows(both[1].means), key=str)
+    with pytest.raises(ValueError, match="mean"):
+        split_by_bounds(t1, "promoted_sku", "roas", n)

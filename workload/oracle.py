@@ -422,6 +422,8 @@ ORACLE: dict[str, str] = {
     + "SELECT order_date, campaign_id, purchased_sku, CAST(total_sales AS DOUBLE) AS total_sales, date, is_promoted, "
     f"match_status FROM flagged WHERE campaign_id = '{CAMPAIGN}'",
     "share_sku_spend": share("promoted_sku", "spend", 7, True),
+    "share_sku_spend_by_bounds": share("promoted_sku", "spend", 7, True),
+    "share_sku_cpc_by_bounds": share("promoted_sku", "cpc", 40, False, WINDOW),
     "trend_top5_total_sales": trend("total_sales"),
     "trend_top5_roas": trend("roas", WINDOW),
     "share_campaign_top5": share("campaign_id", "total_sales", 5, True),

@@ -621,3 +621,14 @@ def campaign_flagged_rows(spark, sf):
 @query
 def share_sku_spend(spark, sf):
     return plain(distribution.distribution(campaign_summary(spark, sf), "promoted_sku", "spend", 7).shares)
+
+
+@query
+def share_sku_spend_by_bounds(spark, sf):
+    return plain(distribution.distribution(campaign_summary(spark, sf), "promoted_sku", "spend", 7, by_bounds=True).shares)
+
+
+@query
+def share_sku_cpc_by_bounds(spark, sf):
+    rows = campaign_summary(spark, sf)
+    return plain(distribution.distribution(rows, "promoted_sku", "cpc", 40, False, START, END, by_bounds=True).shares)
