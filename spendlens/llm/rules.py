@@ -149,7 +149,7 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, key: st
         F.sum(F.coalesce("bad", F.lit(0))).over(upward).alias("bad_out"),
         F.sum(F.coalesce("good", F.lit(0))).over(whole).alias("good"),
     ).filter("cutoff IS NOT NULL")
-    tests = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    tests = tested.agg(F.count(F.lit(1)).alias("tests")).scalar()
     share = risk / len(RULES)
     proved = tested.withColumn("tests", tests).withColumn(
         "chance", F.when(F.col("good_out") < F.col("good") * share, binomial_tail(F.col("good"), F.col("good_out"), share)).otherwise(1.0)
@@ -167,7 +167,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str =
 
     base_failed: under 20 words, or over 30 percent of the words in repeated
     windows.  kept: neither that, nor a value above the cutoff of its
-    stratum.  Null strata form one of their own.  Each row is judged by itself,
+    stratum.  Null and empty strata are one, named by an empty text.  Each row is judged by itself,
     repeated rows alike; labels for documents that do not exist have no effect.
     """
     require(docs, key, text, stratum)

@@ -476,6 +476,22 @@ def test_cutoffs_need_proof_in_each_stratum(spark):
     assert rules.judge(docs, labels.filter("false")).filter("size(rejected_by) > 0").count() == 0
 
 
+def test_counts_of_texts_without_spaces(spark, monkeypatch):
+    """Lines, marks, apostrophes, combining marks and special strings, in stretches long enough to be split."""
+    monkeypatch.setattr(counts, "LONG", 3)
+    monkeypatch.setattr(counts, "BATCH_BYTES", 100)
+    draw = random.Random(9)
+    pieces = ["a", "Bc", "漢", "字。", "。", "、", ".", "...", ",x", "!", "?", "'s", "'", "'re", "é", "e\u0301", "\u0301", "1", "23", "\n", "\r\n",
+              "\t", " ", "\x0b", "\x0c", "\u00a0", "\u3000", "\u2028", "<|startoftext|>", "<|endoftext|>", "<|", "|>", "…", "Σ", "ς", "한", "ᄒ", "ᅡ", "🙂"]
+    texts = ["".join(draw.choices(pieces, k=draw.randrange(60))) for _ in range(4_000)]
+    library = counts.tokenizer(WORDS)
+    for text in texts:
+        parts = counts.stretches(text.encode())
+        assert sum(counts.lengths(WORDS, parts)) == len(library.encode(text, add_special_tokens=False)), text
+    assert max(map(len, counts.stretches(("漢字" * 2 + "。") .encode() * 5_000))) == 5
+    assert counts.stretches(None) == counts.stretches(b"") == [""]
+
+
 # --- urls ------------------------------------------------------------------------------------
 
 
