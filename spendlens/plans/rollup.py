@@ -43,13 +43,26 @@ def add_load(spark: SparkSession, name: str, campaign: DataFrame, fresh: bool =
     snapshots.add(spark, name, states, fresh)
 
 
+def _added(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return states.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in states.columns if c not in keys])
+
+
 def compact(spark: SparkSession, name: str) -> None:
-    """Merge the states of all loads into one; readers of the older version keep it."""
-    merged = {}
-    for part, keys in (("days", DAY_KEYS), ("skus", SKU_KEYS)):
-        states = snapshots.read(spark, name, part)
-        merged[part] = states.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in states.columns if c not in keys])
-    merged["ids"] = campaign_states(spark, name).groupBy("date").agg(F.hll_union_agg("campaigns").alias("campaigns"))
+    """Merge the states of all loads into one; readers of the older version keep it.
+
+    A load has one row for each key, so the states of a day that no other load
+    has are merged already: they are copied as they are.  Only those of days
+    that several loads share, among them rows without a date, are shuffled."""
+    days, ids = day_states(spark, name), campaign_states(spark, name)
+    # one sketch per load and day; no more rows than the calendar has days
+    loads = ids.groupBy(F.col("date").alias("day")).agg(F.count(F.lit(1)).alias("loads"))
+    shared = F.broadcast(loads.filter("loads > 1").select("day"))
+    same_day = F.col("date").eqNullSafe(F.col("day"))
+    merged = {
+        "days": days.join(shared, same_day, "left_anti").unionByName(_added(days.join(shared, same_day, "left_semi"), DAY_KEYS)),
+        "skus": _added(sku_states(spark, name), SKU_KEYS),
+        "ids": ids.groupBy("date").agg(F.hll_union_agg("campaigns").alias("campaigns")),
+    }
     snapshots.add(spark, name, merged, fresh=True)
 
 

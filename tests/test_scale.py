@@ -234,6 +234,44 @@ def test_a_second_load_adds_its_own_states_alone(spark, t1):
     assert len(snapshots.folders(spark, name)) == 1
 
 
+def test_compaction_shuffles_the_states_of_shared_days_alone(spark, t1, monkeypatch):
+    """Loads of different days are copied; keys of days in two loads, or of no day, end in one row."""
+    import uuid
+
+    from spendlens.plans import rollup
+    from spendlens.sources import snapshots
+
+    add, by_key = snapshots.add, r"hashpartitioning\(date#\d+, campaign_id#\d+"
+
+    def compacted(*loads):
+        name, plans = f"t1-{uuid.uuid4().hex}", []
+        for load in loads:
+            rollup.add_load(spark, name, load)
+
+        def run_first(session, name, tables, fresh):
+            tables["days"].collect()
+            plans.append(tables["days"]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+            return add(session, name, tables, fresh)
+
+        with monkeypatch.context() as patched:
+            patched.setattr(snapshots, "add", run_first)
+            rollup.compact(spark, name)
+        return rollup.day_states(spark, name), plans[0]
+
+    whole = rollup.partial_states(t1, rollup.DAY_KEYS)
+    states, plan = compacted(t1.filter("date = '2024-01-01'"), t1.filter("date <> '2024-01-01'"), t1.filter("false"))
+    assert not re.search(by_key, plan)
+    assert rows(states, *whole.columns) == rows(whole)
+
+    undated = t1.withColumn("date", F.when(F.col("campaign_id") != "B", F.col("date")))
+    again = undated.filter("clicks >= 10 AND placement_type = 'PLA'")
+    assert again.filter("date IS NULL").count() and again.filter("date IS NOT NULL").count()
+    whole = rollup.partial_states(undated.unionByName(again), rollup.DAY_KEYS)
+    states, plan = compacted(undated, again)
+    assert re.search(by_key, plan)
+    assert rows(states, *whole.columns) == rows(whole)
+
+
 def test_sketched_facts_stay_within_their_error(spark):
     """Sketches of 30 days, each with campaigns of others, count 60,000 campaigns to 5 %: three standard errors."""
     from spendlens.plans import rollup
